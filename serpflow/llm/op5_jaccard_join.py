@@ -22,16 +22,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_table, table
+from .common import components, table
 
 #: Counters of the sketch; the estimate of a shingle is the count of all shingles that share its counter.
 SKETCH = 1 << 19
 CHUNKS = 64
+#: Size of a Bloom filter of classes.
+BLOOM_BITS = 24
 #: Estimated candidates that a document's prefix may have before it is lengthened.
 FREE = 64.0
+#: One more shared prefix shingle is asked for with every so many shingles of a set, whatever the estimate.
+STEP = 20
 MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)]
 
 
@@ -40,7 +44,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000 and len(word) <= 64:
+        if len(self) < 250_000 and len(word) <= 64:
             self[word] = got
         return got
 
@@ -66,39 +70,86 @@ def shingle_set(text: str | None, k: int, known: WordHash) -> np.ndarray:
     return np.unique(mixed(s))
 
 
+def text_sets(batches, k: int):
+    """For slices of 256 rows of (doc_id, text): the ids, the sets and their signatures (None if empty)."""
+    known = WordHash()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = [shingle_set(t.as_py(), k, known) for t in batch.column(1)[at : at + 256]]
+            yield batch.column(0)[at : at + 256], part, [xxhash.xxh64_intdigest(s.tobytes(), seed=1) - (1 << 63) if len(s) else None for s in part]
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def chunk_rows(counts: np.ndarray) -> list[bytes]:
+    return [c.tobytes() for c in np.split(counts, CHUNKS)]
+
+
+def merged_chunks(rows: DataFrame, dtype, merge) -> np.ndarray | None:
+    """Merge the arrays that tasks sent as rows (chunk, v): of fixed size, whatever the input."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"chunk": [key[0]], "v": [merge.reduce([np.frombuffer(b, dtype) for b in pdf["v"]]).tobytes()]})
+
+    got = rows.groupBy("chunk").applyInPandas(run, "chunk long, v binary").collect()
+    return np.concatenate([np.frombuffer(r["v"], dtype) for r in sorted(got, key=lambda r: r["chunk"])]) if got else None
+
+
 def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0: doc_id, cls (signature of the set), n, set.  Rows of kind 1: a chunk (n) of the
-    sketch of one task."""
+    """Rows with chunk null: doc_id, cls (signature of the set), n.  Others: a chunk v of the sketch of a task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("chunk", pa.int64()), ("v", pa.binary())])
 
     def run(batches):
-        known, counts = WordHash(), np.zeros(SKETCH, np.int64)
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                part = [shingle_set(t.as_py(), k, known) for t in texts[at : at + 256]]
-                blobs = [s.tobytes() for s in part]
-                if part:
-                    counts += np.bincount((np.concatenate(part) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                cls = [xxhash.xxh64_intdigest(b, seed=1) - (1 << 63) if b else None for b in blobs]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(part), pa.int32()), pa.array(ids[at : at + 256], pa.int64()), pa.array(cls, pa.int64()), pa.array([len(s) for s in part], pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
-        size = SKETCH // CHUNKS
-        yield pa.RecordBatch.from_arrays([pa.array([1] * CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int64()), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(CHUNKS)], pa.binary())], schema=schema)
+        counts = np.zeros(SKETCH, np.int64)
+        for ids, part, cls in text_sets(batches, k):
+            counts += np.bincount((np.concatenate(part) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            none = pa.nulls(len(part))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.int64()), pa.array(map(len, part), pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], schema=schema)
+        none = pa.nulls(CHUNKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(CHUNKS), pa.int64()), pa.array(chunk_rows(counts), pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, cls long, n long, set binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, cls long, n long, chunk long, v binary")
 
 
-def summed_sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of the sketches of all tasks: SKETCH counters, whatever the input."""
+def bloom_places(cls: np.ndarray) -> list[np.ndarray]:
+    h = cls.astype(np.int64).view(np.uint64)
+    return [((h * m) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for m in MULT[:3]]
 
-    def add(key, pdf):
-        import pandas as pd
 
-        total = sum(np.frombuffer(b, np.int64) for b in pdf["set"])
-        return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
+def bloom(classes: DataFrame) -> np.ndarray:
+    """Bloom filter of the classes (cls): 2^BLOOM_BITS bits, whatever their number; when it fills up it lets
+    more pass, and the join behind it still decides."""
+
+    def run(batches):
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            for at in bloom_places(batch.column(0).to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array(chunk_rows(np.packbits(bits)), pa.binary())], names=["chunk", "v"])
+
+    got = merged_chunks(classes.select("cls").mapInArrow(run, "chunk long, v binary"), np.uint8, np.bitwise_or)
+    return np.zeros(1 << BLOOM_BITS >> 3, np.uint8) if got is None else got
+
 
-    got = rows.filter("kind = 1").groupBy("n").applyInPandas(add, "chunk long, counts binary").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(got, key=lambda r: r["chunk"])]) if got else np.zeros(SKETCH, np.int64)
+def sets_of(docs: DataFrame, k: int, classes: DataFrame) -> DataFrame:
+    """cls, set (binary) of the wanted classes, worked out again from the texts; a task gives each once."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(classes))
+
+    def run(batches):
+        bits, seen = np.unpackbits(sent.value).view(bool), set()
+        for _, part, cls in text_sets(batches, k):
+            have = [(c, s) for c, s in zip(cls, part) if c is not None and c not in seen]
+            seen.update(c for c, _ in have)
+            keep = np.logical_and.reduce([bits[at] for at in bloom_places(np.array([c for c, _ in have], np.int64))])
+            out = [x for x, ok in zip(have, keep) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["cls", "set"])
+
+    found = id_and_text(docs).mapInArrow(run, "cls long, set binary")
+    return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set"))
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -106,60 +157,67 @@ def least_shared(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def prefixes(spark: SparkSession, rows: DataFrame, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+def prefixes(docs: DataFrame, k: int, sketch: np.ndarray, num: int, den: int) -> DataFrame:
     """cls, n, need (l), head (shingles of the plain prefix), more (those added for l).  A task gives each
     class it meets once."""
-    sent = spark.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
+    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
     usual = float(np.median(sketch))
 
     def run(batches):
         counts, seen = sent.value, set()
-        for batch in batches:
+        for _, part, classes in text_sets(batches, k):
             out: list[list] = [[] for _ in range(5)]
-            for cls, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if cls in seen:
+            for cls, s in zip(classes, part):
+                if cls is None or cls in seen:
                     continue
                 seen.add(cls)
-                s = np.frombuffer(blob.as_buffer(), np.uint64)
+                n = len(s)
                 est = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                 shared = least_shared(n, num, den)
                 p = n - shared + 1
                 order = np.argsort(est, kind="stable")
                 cost = np.maximum(0.0, est[order[:p]] - 1.5 * usual - 4).sum()
-                need = 1 if cost <= FREE else int(min(shared, 1 + 2 * np.log2(cost / FREE)))
+                need = int(min(shared, 1 + n // STEP + (2 * np.log2(cost / FREE) if cost > FREE else 0)))
                 s = s.view(np.int64)
                 for col, v in zip(out, (cls, n, need, s[order[:p]], s[order[p : p + need - 1]])):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["cls", "n", "need", "head", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["cls", "n", "need", "head", "more"])
 
-    return rows.filter("kind = 0 and n > 0").select("cls", "n", "set").mapInArrow(run, "cls long, n long, need int, head array<long>, more array<long>")
+    return id_and_text(docs).mapInArrow(run, "cls long, n int, need int, head array<long>, more array<long>")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every document (doc_id, text), linked at Jaccard >= num / den."""
-    spark = docs.sparkSession
     rows = table(shingled(docs, k), "shingles")
-    head = table(prefixes(spark, rows, summed_sketch(rows), num, den), "prefixes")
+    sketch = merged_chunks(rows.filter("chunk is not null").select("chunk", "v"), np.int64, np.add)
+    head = table(prefixes(docs, k, np.zeros(SKETCH, np.int64) if sketch is None else sketch, num, den), "prefixes")
 
     def near(a: str, b: str):
         return (F.least(a, b) * den >= F.greatest(a, b) * num)
 
-    posts = head.select(F.explode("head").alias("token"), "cls", "n")
-    lists = posts.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("pivot"), F.max("cls").alias("last")).filter("pivot.cls < last").select("token", F.col("pivot.cls").alias("pc"), F.col("pivot.n").alias("pn"))
-    shared = table(posts.join(lists, "token").dropDuplicates(["token", "cls"]), "shared")
-    stars = shared.filter(F.col("cls") != F.col("pc")).filter(near("n", "pn")).select(F.col("pc").alias("a"), F.col("cls").alias("b")).distinct()
+    def within(n: str, i: str, m: str, j: str):
+        """The shingle may be the first that two sets of n and m share, at places i and j of the order: from
+        there on enough is left.  What two similar sets share first always passes."""
+        most = F.lit(1) + F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) - 1
+        return most * (num + den) >= (F.col(n) + F.col(m)) * num
 
-    # prefixes of the classes that occur in pairs, one row a class
-    one = head.dropDuplicates(["cls"])
-    sets = rows.filter("kind = 0 and n > 0").select("cls", "set")
+    posts = head.select(F.posexplode("head").alias("at", "token"), "cls", "n")
+    lists = posts.groupBy("token").agg(F.min(F.struct("cls", "n", "at")).alias("pivot"), F.max("cls").alias("last")).filter("pivot.cls < last").select("token", F.col("pivot.cls").alias("pc"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
+    shared = table(posts.join(lists, "token"), "shared")
+    stars = shared.filter(F.col("cls") != F.col("pc")).filter(near("n", "pn") & within("n", "at", "pn", "pat")).select(F.col("pc").alias("a"), F.col("cls").alias("b")).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs (a, b), those whose sets reach the threshold."""
-        pre = one.select("cls", "need", F.concat("head", "more").alias("p"))
+
+        def classes(p: DataFrame) -> DataFrame:
+            return table(p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct(), name + "_classes")
+
+        pairs = table(pairs, name + "_pairs")
+        pre = head.join(classes(pairs), "cls", "left_semi").groupBy("cls").agg(F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
+        pre = table(pre, name + "_prefixes")
         x = pairs.join(pre.toDF("a", "need_a", "p_a"), "a").join(pre.toDF("b", "need_b", "p_b"), "b")
-        x = table(x.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.least("need_a", "need_b")).select("a", "b"), name + "_pairs")
-        wanted = x.select(F.col("a").alias("cls")).union(x.select(F.col("b").alias("cls"))).distinct()
-        full = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set"))
+        x = table(x.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.least("need_a", "need_b")).select("a", "b"), name + "_candidates")
+        full = table(sets_of(docs, k, classes(x)), name + "_sets")
 
         def check(batches):
             for batch in batches:
@@ -176,17 +234,19 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 
     links = verified(stars, "stars")
     comps = components(links, "star_components")
-    at = shared.select("token", "cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    at = shared.select("token", "cls", "n", "at").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     at = table(at, "placed")
     # lists of two are settled by their pivot; so are those of one component
     open_ = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("token")
-    left = at.join(open_, "token")
-    x, y = left.toDF("token", "a", "na", "ca"), left.toDF("token", "b", "nb", "cb")
-    across = x.join(y, "token").filter("a < b and ca <> cb").filter(near("na", "nb")).select("a", "b").distinct()
+    # a task gave each class once, so a list may hold it as often as there were tasks
+    left = at.join(open_, "token").dropDuplicates(["token", "cls"])
+    left = left.select("token", "cls", "n", "at", "component")
+    x, y = left.toDF("token", "a", "na", "ia", "ca"), left.toDF("token", "b", "nb", "ib", "cb")
+    across = x.join(y, "token").filter("a < b and ca <> cb").filter(near("na", "nb") & within("na", "ia", "nb", "ib")).select("a", "b").distinct()
     across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(across, "across")
     joined = components(links.union(more), "components") if more.limit(1).count() else comps
-    member = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    member = rows.filter("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
     member = member.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     low = member.filter("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = member.join(low, "component", "left")
