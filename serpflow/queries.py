@@ -1,6 +1,331 @@
-def queries():
-    return {}
+"""Registered queries of the engine, each beside the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as fx
+from . import neardup, ranking, sources, text, tfidf
+from .fixtures import CRAWL_SQL, QUERIES_SQL, RESULTS_SQL, SOURCES_SQL
+from .ranking import DEFAULT as P
+
+GID = ["query_id", "engine"]
+STOP = ("the", "of", "and", "de", "la", "der", "die", "und", "les", "que")
+TEMPLATES = {"france": "https://fr.example/t?x={query}", "kenya": "https://ke.example/t?x={query}"}
+SKIP = ("peru",)
+ALIASES = {"china": "cn", "japan": "jp"}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def items_of(spark, sf_dir) -> DataFrame:
+    return fx.results(spark, sf_dir).select(*GID, F.col("pos").alias("item"), F.concat("title", F.lit(" "), "snippet").alias("text"))
+
+
+def per_group_queries(spark, sf_dir) -> DataFrame:
+    groups = fx.results(spark, sf_dir).select(*GID).distinct()
+    return groups.join(fx.queries(spark, sf_dir), "query_id").select(*GID, F.col("query").alias("text"))
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    s = tfidf.cosine_to_query(items_of(spark, sf_dir), per_group_queries(spark, sf_dir), GID).withColumnRenamed("item", "pos")
+    return fx.results(spark, sf_dir).join(s, [*GID, "pos"])
+
+
+ITEMS_SQL = f"""{RESULTS_SQL}, {QUERIES_SQL}, items AS (SELECT query_id, engine, pos AS item, title || ' ' || snippet AS text FROM results
+  UNION ALL SELECT g.query_id, g.engine, -1, q.query FROM (SELECT DISTINCT query_id, engine FROM results) g JOIN queries q USING (query_id))"""
+SCORED_SQL = f"{ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine')}, scored AS (SELECT r.*, s.score FROM results r JOIN scores s ON r.query_id = s.query_id AND r.engine = s.engine AND r.pos = s.item)"
+_TOK = "regexp_extract_all(lower(title || ' ' || snippet), '[\\p{L}\\p{N}_]{2,}')"
+
+
+def any_of(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+def in_(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pos, array_to_string({_TOK}, ' ') AS tokens FROM results")
+def t1_word_tokens(spark, sf_dir):
+    r = fx.results(spark, sf_dir)
+    return r.select("pos", F.array_join(text.word_tokens(F.concat("title", F.lit(" "), "snippet")), " ").alias("tokens"))
+
+
+@query(f"""WITH {RESULTS_SQL}, t AS (SELECT query_id, lower(title) AS t FROM results)
+SELECT query_id, gram, count(*) AS n FROM (SELECT query_id, unnest(flatten(list_transform(range(2, 5), lambda n: list_transform(range(1, CAST(length(t) AS BIGINT) - n + 2), lambda i: substring(t, i, n))))) AS gram FROM t) GROUP BY ALL""")
+def t2_char_ngrams(spark, sf_dir):
+    r = fx.results(spark, sf_dir).select("query_id", F.lower("title").alias("t"))
+    return r.select("query_id", F.explode(text.char_ngrams("t", 2, 4)).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RESULTS_SQL}, t AS (SELECT query_id, {_TOK} AS t FROM results)
+SELECT query_id, gram, count(*) AS n FROM (SELECT query_id, unnest(flatten(list_transform(range(1, 4), lambda n: list_transform(range(1, CAST(len(t) AS BIGINT) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))))) AS gram FROM t) GROUP BY ALL""")
+def t3_word_ngrams(spark, sf_dir):
+    r = fx.results(spark, sf_dir).select("query_id", text.word_tokens(F.concat("title", F.lit(" "), "snippet")).alias("t"))
+    return r.select("query_id", F.explode(text.word_ngrams("t", 1, 3)).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pos, array_to_string(list_filter({_TOK}, lambda x: x NOT IN {in_(STOP)}), ' ') AS tokens FROM results")
+def t4_stop_filter(spark, sf_dir):
+    t = text.word_tokens(F.concat("title", F.lit(" "), "snippet"))
+    return fx.results(spark, sf_dir).select("pos", F.array_join(text.stop_filter(t, STOP), " ").alias("tokens"))
+
+
+@query(f"""WITH {RESULTS_SQL}, c AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, unnest({_TOK}) AS term FROM results) GROUP BY ALL)
+SELECT query_id, term, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS INT) AS rank FROM c) WHERE rank <= 800""")
+def t5_vocab_cap(spark, sf_dir):
+    from pyspark.sql import Window
+
+    r = fx.results(spark, sf_dir).select("query_id", F.explode(text.word_tokens(F.concat("title", F.lit(" "), "snippet"))).alias("term"))
+    c = r.groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "term"))).filter("rank <= 800")
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, score FROM scored")
+def t6_cosine_to_query(spark, sf_dir):
+    return scored(spark, sf_dir).select(*GID, "pos", "score")
+
+
+@query(f"""WITH {SCORED_SQL}, x AS (SELECT *, max(score) OVER (PARTITION BY query_id, engine) AS best, CASE WHEN engine IN {in_(P.major)} THEN {P.tiers[0]} WHEN engine IN {in_(P.middle)} THEN {P.tiers[1]} ELSE {P.tiers[2]} END AS least FROM scored)
+SELECT query_id, engine, pos, url, score FROM x WHERE score >= least AND (least < {P.tiers[2]} OR best >= {P.least_group_max})""")
+def t8_filter_by_relevance(spark, sf_dir):
+    return ranking.filter_by_relevance(scored(spark, sf_dir)).select(*GID, "pos", "url", "score")
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, title, url, score, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY score DESC, pos) AS INT) AS rank FROM scored")
+def t9_rank_by_relevance(spark, sf_dir):
+    return ranking.rank_by_relevance(scored(spark, sf_dir)).select(*GID, "pos", "title", "url", "score", "rank")
+
+
+@query("""WITH items AS (SELECT 0 AS g, min(doc_id) AS item, text, count(*) AS m FROM documents GROUP BY text), toks AS (SELECT item, m, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM items),
+terms AS (SELECT item, m, term, count(*) AS tf FROM (SELECT item, m, unnest(t) AS term FROM toks UNION ALL SELECT item, m, unnest(list_transform(range(1, CAST(len(t) AS BIGINT)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks WHERE len(t) >= 2) GROUP BY ALL),
+dfs AS (SELECT term, sum(m) AS df FROM terms GROUP BY term), w AS (SELECT item, a.term, d.df, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + d.df)) + 1) AS w FROM terms a JOIN dfs d ON a.term = d.term),
+u AS (SELECT item, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY item)) AS u FROM w)
+SELECT a.item AS a, b.item AS b, round(sum(a.u * b.u), 6) AS sim FROM u a JOIN u b ON a.term = b.term AND a.item < b.item WHERE a.df > 1 OR b.df > 1 GROUP BY ALL HAVING sum(a.u * b.u) >= 0.85""")
+def t12_similar_pairs(spark, sf_dir):
+    return neardup.similar_pairs(fx.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"))
+
+
+@query("SELECT min(doc_id) OVER (PARTITION BY text) AS text_id, doc_id AS item FROM documents")
+def t12_copies(spark, sf_dir):
+    return neardup.copies(fx.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"))
+
+
+@query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine')} SELECT query_id, engine, term, df FROM dfs")
+def g7_document_frequency(spark, sf_dir):
+    both = items_of(spark, sf_dir).unionByName(per_group_queries(spark, sf_dir).withColumn("item", F.lit(-1).cast("long")))
+    return tfidf.grams(both, GID).groupBy(*GID, "term").agg(F.count("*").alias("df"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, max(score) AS best, count(*) AS n FROM scored GROUP BY ALL")
+def g8_group_maximum(spark, sf_dir):
+    return scored(spark, sf_dir).groupBy(*GID).agg(F.max("score").alias("best"), F.count("*").alias("n"))
+
+
+@query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine')} SELECT query_id, engine, item, round(norm, 6) AS norm FROM norms")
+def w7_item_norms(spark, sf_dir):
+    both = items_of(spark, sf_dir).unionByName(per_group_queries(spark, sf_dir).withColumn("item", F.lit(-1).cast("long")))
+    w = tfidf.weigh(tfidf.grams(both, GID), both.groupBy(*GID).agg(F.count("*").alias("n")), GID)
+    return tfidf.norms(w, GID).withColumn("norm", F.round("norm", 6))
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY score DESC, pos) AS INT) AS rank FROM scored) WHERE rank <= 5")
+def w4_top_k(spark, sf_dir):
+    return ranking.top_k(scored(spark, sf_dir), 5).select(*GID, "pos", "score", "rank")
+
+
+@query(f"WITH {RESULTS_SQL} SELECT query_id, engine, pos, url, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY pos) AS INT) AS index FROM results")
+def w3_engine_index(spark, sf_dir):
+    return sources.numbered(fx.results(spark, sf_dir), ["pos"]).select(*GID, "pos", "url", "index")
+
+
+_LIKE = f"""NOT coalesce(length(title) < 3 OR ({any_of('lower(url)', P.bad_urls)} AND {any_of('lower(url)', P.inner_urls)}) OR {any_of("lower(title || ' ' || snippet)", P.noise_phrases)}
+ OR lower(trim(title)) IN {in_(P.noise_titles)} OR regexp_matches(lower(title), '{P.page_title}') OR (length(snippet) < 8 AND score < 0.1), true)"""
+
+
+def _like() -> F.Column:
+    return ranking.is_result_like(F.col("title"), F.col("url"), F.col("snippet"), F.col("score"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, {_LIKE} AS result_like FROM scored")
+def b6_is_result_like(spark, sf_dir):
+    return scored(spark, sf_dir).select(*GID, "pos", _like().alias("result_like"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id, engine, url ORDER BY pos) AS k FROM scored) WHERE k = 1 AND {_LIKE}")
+def w1_first_then_filter(spark, sf_dir):
+    return ranking.first_then_filter(scored(spark, sf_dir), _like()).select(*GID, "pos", "url")
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, url, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, engine, url ORDER BY score DESC, pos) AS k FROM scored WHERE {_LIKE}) WHERE k = 1")
+def w2_filter_then_best(spark, sf_dir):
+    return ranking.filter_then_best(scored(spark, sf_dir), _like()).select(*GID, "pos", "url", "score")
+
+
+@query(f"""WITH {RESULTS_SQL} SELECT query_id, engine, pos, title, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id, engine, url ORDER BY pos) AS k FROM results) WHERE k = 1 AND length(title) >= 3
+ AND NOT {any_of('lower(url)', P.redirect_ads)} AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) NOT IN {in_(P.blocked_hosts)}""")
+def b7_post_filter(spark, sf_dir):
+    return ranking.post_filter(fx.results(spark, sf_dir)).select(*GID, "pos", "title", "url")
+
+
+_ADTEXT = "lower(concat_ws(' ', nullif(title, ''), nullif(snippet, '')))"
+_URGENT = "(" + " + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in P.urgency) + ")"
+
+
+@query(f"WITH {RESULTS_SQL} SELECT query_id, engine, pos, {any_of(_ADTEXT, P.ad_words)} AS rule_hit, {any_of('lower(url)', P.ad_urls)} AS url_hit, {_URGENT} AS urgency_hits FROM results")
+def b8_b9_b10_ad_parts(spark, sf_dir):
+    parts = ranking.ad_rule_score(F.col("title"), F.col("snippet"), F.col("url"))
+    return fx.results(spark, sf_dir).select(*GID, "pos", (parts["rule"] > 0).alias("rule_hit"), (parts["link"] > 0).alias("url_hit"), parts["urgency_hits"].cast("int").alias("urgency_hits"))
+
+
+@query(f"WITH {RESULTS_SQL}, s AS (SELECT *, CASE WHEN {any_of(_ADTEXT, P.ad_words)} THEN 3 ELSE 0 END + CASE WHEN {any_of('lower(url)', P.ad_urls)} THEN 2 ELSE 0 END + CASE WHEN {_URGENT} >= 2 THEN 1 ELSE 0 END AS score FROM results) SELECT query_id, count(*) FILTER (score >= 4) AS removed, count(*) FILTER (score < 4) AS kept FROM s GROUP BY ALL")
+def g6_removed_by_ad_rules(spark, sf_dir):
+    parts = ranking.ad_rule_score(F.col("title"), F.col("snippet"), F.col("url"))
+    s = fx.results(spark, sf_dir).withColumn("score", parts["rule"] + parts["link"] + parts["urgency"])
+    return s.groupBy("query_id").agg(F.count_if(F.col("score") >= 4).alias("removed"), F.count_if(F.col("score") < 4).alias("kept"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pos, concat_ws(' ', nullif(title, ''), nullif(snippet, '')) AS text FROM results")
+def b12_join_item(spark, sf_dir):
+    return fx.results(spark, sf_dir).select("pos", text.join_item(F.col("title"), F.col("snippet")).alias("text"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT query_id, engine, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY pos) AS INT) AS index, coalesce(title, 'untitled') AS title, CASE WHEN length(snippet) > 800 THEN substring(snippet, 1, 800) || '...' ELSE snippet END AS snippet FROM results")
+def b13_preview(spark, sf_dir):
+    r = sources.numbered(fx.results(spark, sf_dir), ["pos"])
+    return r.select(*GID, "index", F.coalesce("title", F.lit("untitled")).alias("title"), F.when(F.length("snippet") > 800, F.concat(F.substring("snippet", 1, 800), F.lit("..."))).otherwise(F.col("snippet")).alias("snippet"))
+
+
+@query("SELECT page_id, trim(regexp_replace(html, '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM pages")
+def d1_clean_text(spark, sf_dir):
+    return fx.read(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pos, url AS target FROM results")
+def d3_resolve_redirect(spark, sf_dir):
+    """Wraps every url as a redirect, in hex or base64 by turns, and takes it out again."""
+    r = fx.results(spark, sf_dir)
+    packed = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://go.example/r?url="), F.lower(F.hex(F.encode("url", "UTF-8"))))).when(F.col("pos") % 3 == 1, F.concat(F.lit("https://go.example/r?a=1&url="), F.rtrim(F.base64(F.encode("url", "UTF-8")), F.lit("=")))).otherwise(F.col("url"))
+    return r.select("pos", text.resolve_redirect(packed, "go.example").alias("target"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pos, CASE WHEN pos % 4 = 0 THEN regexp_extract(url, '//([^/]*)', 1) ELSE title END AS title FROM results WHERE regexp_matches(title, '^[^›»>]*$') AND title <> ''")
+def d4_d5_clean_title(spark, sf_dir):
+    """Puts labels, glued domains and breadcrumbs around titles and takes them off again."""
+    r = fx.results(spark, sf_dir).filter("title rlike '^[^›»>]*$' and title <> ''")
+    k = F.col("pos") % 4
+    dressed = F.when(k == 0, F.concat(F.lit("shop.example"), "url")).when(k == 1, F.concat(F.lit("Sponsored: "), "title")).when(k == 2, F.concat("title", F.lit(" › docs › page 1"))).otherwise(F.col("title"))
+    return r.select("pos", text.clean_title(dressed, P.ad_labels).alias("title"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT pos, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM results")
+def d7_authority(spark, sf_dir):
+    return fx.results(spark, sf_dir).select("pos", text.authority(F.col("url")).alias("host"))
+
+
+@query("SELECT item_id, replace(url_encode(text), '%2F', '/') AS quoted FROM benchmark")
+def d8_percent_quote(spark, sf_dir):
+    return fx.read(spark, sf_dir, "benchmark").select("item_id", text.percent_quote(F.col("text")).alias("quoted"))
+
+
+@query(f"""WITH {RESULTS_SQL}, {QUERIES_SQL}, {SOURCES_SQL}, x AS (SELECT query_id, ord, name, url, replace(url_encode(query), '%2F', '/') AS q, CASE name {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in TEMPLATES.items())} END AS template FROM queries, sources)
+SELECT query_id, ord, name, CASE WHEN name IN {in_(SKIP)} THEN NULL WHEN contains(url, '{{query}}') THEN replace(url, '{{query}}', q) WHEN template IS NOT NULL THEN replace(template, '{{query}}', q) ELSE rtrim(url, '/') || '/search?q=' || q END AS request FROM x""")
+def b1_a6_build_requests(spark, sf_dir):
+    return sources.build_requests(fx.queries(spark, sf_dir), fx.sources(spark, sf_dir), TEMPLATES, SKIP)
+
+
+@query(f"WITH {SOURCES_SQL} SELECT * FROM sources WHERE coalesce(speed, 0) >= 5")
+def b2_filter_speed(spark, sf_dir):
+    return sources.filter_speed(fx.sources(spark, sf_dir), 5)
+
+
+@query(f"WITH {SOURCES_SQL} SELECT ord, CASE name WHEN 'china' THEN 'cn' WHEN 'japan' THEN 'jp' ELSE name END AS name, url, speed FROM sources")
+def b3_normalize_name(spark, sf_dir):
+    return sources.normalize_name(fx.sources(spark, sf_dir), ALIASES)
+
+
+@query(f"WITH {SOURCES_SQL} SELECT ord, name, coalesce(url, '') AS url, coalesce(speed, 5) AS speed FROM sources")
+def a1_registry(spark, sf_dir):
+    """The registry as one JSON dict, parsed again."""
+    entry = F.struct("ord", "name", F.struct("url", "speed").alias("v"))
+    one = fx.sources(spark, sf_dir).agg(F.sort_array(F.collect_list(entry)).alias("e")).select(F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["name"], x["v"])))).alias("value"))
+    return sources.parse_registry(one)
+
+
+@query(f"WITH {CRAWL_SQL} SELECT engine, url, query, html FROM crawl WHERE status = 'success' AND html <> ''")
+def b4_b5_b15_usable_pages(spark, sf_dir):
+    return sources.usable_pages(fx.crawl(spark, sf_dir))
+
+
+@query("SELECT item_id, trim(text) AS query, coalesce(TRY_CAST(CASE WHEN item_id % 3 = 0 THEN 'fast' ELSE CAST(item_id % 10 AS VARCHAR) END AS INT), 5) AS speed FROM benchmark WHERE item_id % 4 <> 1 AND trim(text) <> ''")
+def b16_clean_queries(spark, sf_dir):
+    q = fx.read(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 1, "   ").otherwise(F.concat(F.lit("  "), "text")).alias("query"), F.when(F.col("item_id") % 3 == 0, "fast").otherwise((F.col("item_id") % 10).cast("string")).alias("speed"))
+    return sources.clean_queries(q)
+
+
+@query("SELECT event_id, 'results_' || strftime(ts, '%Y%m%d_%H%M%S') AS name FROM events")
+def a5_export_name(spark, sf_dir):
+    return fx.read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("results_"), F.date_format("ts", "yyyyMMdd_HHmmss")).alias("name"))
+
+
+@query(f"WITH {CRAWL_SQL} SELECT engine, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status NOT IN ('success', 'skipped')) AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM crawl GROUP BY engine")
+def g1_status_counts(spark, sf_dir):
+    return sources.status_counts(fx.crawl(spark, sf_dir), ["engine"])
+
+
+@query(f"WITH {CRAWL_SQL} SELECT page_id, status, CASE WHEN error = '' THEN '-' ELSE substring(error, 1, 100) END AS detail FROM crawl WHERE status NOT IN ('success', 'skipped')")
+def g2_failures(spark, sf_dir):
+    return sources.failures(fx.crawl(spark, sf_dir)).select("page_id", "status", "detail")
+
+
+@query(f"WITH {RESULTS_SQL}, {QUERIES_SQL}, {SOURCES_SQL} SELECT query_id, count(*) FILTER (name NOT IN {in_(SKIP)}) AS searchable, count(*) FILTER (name IN {in_(SKIP)}) AS skipped FROM queries, sources GROUP BY query_id")
+def g3_searchable(spark, sf_dir):
+    r = sources.build_requests(fx.queries(spark, sf_dir), fx.sources(spark, sf_dir), TEMPLATES, SKIP)
+    return r.groupBy("query_id").agg(F.count_if(F.col("request").isNotNull()).alias("searchable"), F.count_if(F.col("request").isNull()).alias("skipped"))
+
+
+@query(f"WITH {RESULTS_SQL}, kept AS (SELECT * FROM results WHERE pos % 3 <> 0), e AS (SELECT DISTINCT query_id, engine FROM results) SELECT query_id, count(DISTINCT engine) AS total_engines, (SELECT count(*) FROM kept k WHERE k.query_id = e.query_id) AS total_results FROM e GROUP BY query_id")
+def g4_a3_totals(spark, sf_dir):
+    r = fx.results(spark, sf_dir)
+    b = sources.bundles(r.filter("pos % 3 <> 0"), r.select(*GID).distinct())
+    return b.groupBy("query_id").agg(F.count("*").alias("total_engines"), F.sum(F.size("results")).cast("long").alias("total_results"))
+
+
+@query(f"WITH {RESULTS_SQL}, kept AS (SELECT * FROM results WHERE pos % 3 <> 0), e AS (SELECT DISTINCT query_id, engine FROM results) SELECT e.query_id, e.engine, count(k.pos) AS n, coalesce(string_agg(k.url || ' ' || k.title, '|' ORDER BY k.pos), '') AS joined FROM e LEFT JOIN kept k ON e.query_id = k.query_id AND e.engine = k.engine GROUP BY ALL")
+def g9_bundles(spark, sf_dir):
+    r = fx.results(spark, sf_dir)
+    b = sources.bundles(r.filter("pos % 3 <> 0"), r.select(*GID).distinct())
+    return b.select(*GID, F.size("results").cast("long").alias("n"), F.array_join(F.transform("results", lambda x: F.concat(x["url"], F.lit(" "), x["title"])), "|").alias("joined"))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT query_id, engine, url, min(pos) AS pos FROM results GROUP BY ALL")
+def g10_distinct_url(spark, sf_dir):
+    return ranking.first_then_filter(fx.results(spark, sf_dir), F.lit(True)).select(*GID, "url", "pos")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) FILTER (event_type = 'purchase') AS success, count(*) FILTER (event_type NOT IN ('purchase', 'view')) AS failed, count(*) FILTER (event_type = 'view') AS skipped FROM events GROUP BY 1")
+def k2_status_per_window(spark, sf_dir):
+    e = fx.read(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "skipped").otherwise("error")
+    return sources.status_per_window(e.select(F.col("ts").alias("fetched_at"), status.alias("status")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
