@@ -4,7 +4,7 @@ Each document gets the exponential key -ln(u) / w with u a hash of its id in (0,
 A source's budget is filled by whole epochs first; what is left of it goes to the documents of smallest key,
 by a prefix sum of their sizes.  The prefix sum has two levels: keys fall into buckets in key order, the
 buckets' totals are summed per source, and only the bucket in which a budget ends is put in order row by
-row.  So no source, however large, is sorted in one task.
+row.  A source of n rows has about sqrt(n) buckets of about sqrt(n) rows, so no task orders more than that.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; null is a source of its own, the
 last; a source without words has target 0; repeated rows are sampled as rows of their own, with ties in key
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 
-#: Rows of a bucket of keys, about.
-BUCKET = 20_000
-
 
 def quality_weight(text: Column) -> Column:
     """In [0.05, 1]: falls with the share of symbols that prose does not have."""
@@ -49,7 +46,7 @@ def targets(sources: DataFrame, weights: list[float], cap: float = 3.0) -> DataF
     return s.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 11, bucket: int = BUCKET) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken for every document (doc_id, source, text)."""
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     d = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), (-F.log(u) / quality_weight(F.coalesce("text", F.lit("")))).alias("key"))
@@ -58,7 +55,7 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float = 3.
     goal = targets(sources.drop("n"), list(weights), cap).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal = goal.join(sources.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    goal = goal.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket))).withColumnRenamed("source", "_s")
+    goal = goal.withColumn("buckets", F.ceil(F.sqrt("n"))).withColumnRenamed("source", "_s")
     goal = table(goal, "goals")
     d = d.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # monotone in the key and about even: the key is exponential
