@@ -46,8 +46,9 @@ def targets(sources: DataFrame, weights: list[float], cap: float = 3.0) -> DataF
     return s.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken for every document (doc_id, source, text)."""
+def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 11, bucket: int | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, taken for every document (doc_id, source, text).
+    bucket: about so many rows in a bucket of keys; without it, the square root of the source's rows."""
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     d = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), (-F.log(u) / quality_weight(F.coalesce("text", F.lit("")))).alias("key"))
     d = table(d, "sizes")
@@ -55,7 +56,7 @@ def mix(docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), cap: float = 3.
     goal = targets(sources.drop("n"), list(weights), cap).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal = goal.join(sources.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    goal = goal.withColumn("buckets", F.ceil(F.sqrt("n"))).withColumnRenamed("source", "_s")
+    goal = goal.withColumn("buckets", F.ceil(F.col("n") / bucket if bucket else F.sqrt("n"))).withColumnRenamed("source", "_s")
     goal = table(goal, "goals")
     d = d.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # monotone in the key and about even: the key is exponential
