@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import neardup, ranking, sources, text, tfidf
+from . import dom, neardup, ranking, sources, text, tfidf
 from .fixtures import CRAWL_SQL, QUERIES_SQL, RESULTS_SQL, SOURCES_SQL
 from .ranking import DEFAULT as P
 
@@ -323,9 +323,85 @@ def k2_status_per_window(spark, sf_dir):
     return sources.status_per_window(e.select(F.col("ts").alias("fetched_at"), status.alias("status")))
 
 
+_DECODE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+def decoded(c: str) -> str:
+    return f"trim(regexp_replace({_DECODE.format(c)}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+#: The links of every page in order; in the given pages each fills a list item and is relative to the root.
+_LINKS_SQL = f"""links AS (SELECT page_id, i AS n, regexp_extract(url, '^(https?://[^/?#]*)', 1) || {_DECODE.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS url, {decoded("regexp_extract(a, '>([^<]*)</a>', 1)")} AS title
+  FROM (SELECT page_id, url, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*>[^<]*</a>') AS x FROM pages)))"""
+
+
+def _in_order(df: DataFrame, by: str) -> DataFrame:
+    """Number the rows of each page."""
+    from pyspark.sql import Window
+
+    return df.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy(by)).cast("long"))
+
+
+@query(f"""SELECT page_id, {decoded("regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', '', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')")} AS text FROM pages""")
+def c1_c2_c3_extract_text(spark, sf_dir):
+    return dom.extract_text(fx.read(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {_LINKS_SQL} SELECT page_id, n, url FROM links")
+def c4_extract_links(spark, sf_dir):
+    return _in_order(dom.extract_links(fx.read(spark, sf_dir, "pages")), "pre").select("page_id", "n", "url")
+
+
+@query(f"""SELECT page_id, i AS n, {decoded("regexp_replace(h, '<[^>]*>', '', 'g')")} AS title
+FROM (SELECT page_id, unnest(x) AS h, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<h[1-4][^>]*>.*?</h[1-4]>', 0, 's') AS x FROM pages)) WHERE title <> ''""")
+def c5_i4_extract_titles(spark, sf_dir):
+    return _in_order(dom.extract_titles(fx.read(spark, sf_dir, "pages")), "pre").select("page_id", "n", "title")
+
+
+@query("")
+def c6_extract_snippets(spark, sf_dir):
+    """Without SQL: paragraphs left open hold the paragraphs after them."""
+    return dom.extract_snippets(fx.read(spark, sf_dir, "pages"))
+
+
+@query(f"""WITH {_LINKS_SQL} SELECT page_id, title, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS BIGINT) AS n, '' AS snippet
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY n) AS k FROM links) WHERE k = 1 AND length(title) >= 3""")
+def c9_extract_generic(spark, sf_dir):
+    return _in_order(dom.extract_generic(fx.read(spark, sf_dir, "pages")), "pos").select("page_id", "title", "url", "n", "snippet")
+
+
+def serp(spark, sf_dir) -> DataFrame:
+    """page_id, url, html: a result page for every query and engine, of at most twenty rows."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.concat(F.lit("<div class='r'><h3><a href='"), "url", F.lit("'>"), esc("title"), F.lit("</a></h3><p>"), esc("snippet"), F.lit("</p></div>"))
+    r = fx.results(spark, sf_dir).groupBy(*GID).agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("h")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda x: x["h"]), "\n")
+    return r.select(F.get("rows", F.lit(0))["pos"].alias("page_id"), F.lit("https://find.example/q").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+
+
+@query(f"WITH {RESULTS_SQL}, p AS (SELECT *, min(pos) OVER (PARTITION BY query_id, engine) AS page_id FROM results) SELECT page_id, url, count(*) AS n FROM p WHERE length(title) >= 3 GROUP BY ALL")
+def c10_c11_link_candidates(spark, sf_dir):
+    c = dom.link_candidates(serp(spark, sf_dir))
+    return c.groupBy("page_id", "url").agg(F.count("snippet").alias("n"))
+
+
+@query("""SELECT page_id, next IS NULL AS last, count(*) AS n FROM (SELECT page_id, lead(i) OVER (PARTITION BY page_id ORDER BY i) AS next FROM (SELECT page_id, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS x FROM pages))) GROUP BY ALL""")
+def w5_next_sibling(spark, sf_dir):
+    n = dom.next_siblings(dom.explode_dom(fx.read(spark, sf_dir, "pages"), (), ())).filter("tag = 'li'")
+    return n.groupBy("page_id", F.col("next").isNull().alias("last")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RESULTS_SQL}, x AS (SELECT pos, url, regexp_extract(url, '^(https://[^/]*)', 1) AS host FROM results)
+SELECT pos, CASE pos % 5 WHEN 0 THEN host || '/root/' || pos WHEN 1 THEN host || '/x' || pos || '#f' WHEN 2 THEN url || '?q=' || pos WHEN 3 THEN 'https://other.example/' || pos ELSE host || '/d/' || pos END AS target FROM x""")
+def d2_resolve_url(spark, sf_dir):
+    k, pos = F.col("pos") % 5, F.col("pos").cast("string")
+    href = F.when(k == 0, F.concat(F.lit("/root/"), pos)).when(k == 1, F.concat(F.lit("./../x"), pos, F.lit("#f"))).when(k == 2, F.concat(F.lit("?q="), pos)).when(k == 3, F.concat(F.lit("//other.example/"), pos)).otherwise(F.concat(F.lit("a/../"), pos))
+    return fx.results(spark, sf_dir).select("pos", text.resolve_url(href, F.col("url")).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for k, v in _SQL.items() if v}

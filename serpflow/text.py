@@ -88,3 +88,31 @@ def clean_title(c: Column, ad_labels: tuple[str, ...] = ()) -> Column:
     s = F.regexp_replace(t, r"(?U)^[\w.-]+\.[A-Za-z]{2,}(?=https?://)", "")
     s = F.trim(F.regexp_replace(s, r"(?U)\s*+(?:[›»>][\w\s\-.#@&?=%!+]++)+$", ""))
     return F.when(c.isNull() | (c == ""), c).when(s != "", F.when(s.startswith("http") & (authority(s) != ""), authority(s)).otherwise(s)).otherwise(F.trim(t))
+
+
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def resolve_url(href: Column, base: Column) -> Column:
+    """A reference resolved against a page's URL; an empty reference stays empty, one that names a host or
+    another scheme stays as it is."""
+    part = lambda c, i: F.regexp_extract(c, r"(?s)" + _PARTS, i)
+    scheme, host, path, query, fragment = (part(href, i) for i in range(1, 6))
+    base_scheme, base_host, base_path = part(base, 1), part(base, 2), part(base, 3)
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+    whole = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/"))
+    steps = F.split(F.substring(whole, 2, 1 << 30), "/", -1)
+    none = F.array().cast("array<string>")
+    climb = lambda done, s: F.when(s == "..", F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    walked = F.aggregate(steps, none, climb)
+    walked = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    new_path = F.when(path == "", base_path).otherwise(F.concat(F.lit("/"), F.array_join(walked, "/")))
+    new_query = F.when((path == "") & (query == ""), part(base, 4)).otherwise(query)
+    tail = F.concat(F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+    given = F.coalesce(href, F.lit(""))
+    return (
+        F.when((given == "") | base.isNull() | (base == ""), given)
+        .when((scheme != "") & ((F.lower(scheme) != F.lower(base_scheme)) | (host != "")), given)
+        .when(given.startswith("//"), F.concat(base_scheme, F.lit(":"), given))
+        .otherwise(F.concat(base_scheme, F.lit("://"), base_host, new_path, tail))
+    )

@@ -19,7 +19,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(engine.queries()))
+@pytest.mark.parametrize("name", sorted(engine.oracle_sql()))
 def test_same_rows_as_sql(spark, duck, name):
     df = engine.queries()[name](spark, SF)
     cols = sorted(df.columns)
