@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import dom, neardup, ranking, sources, text, tfidf
+from . import dom, neardup, ranking, selectors, sources, text, tfidf
 from .fixtures import CRAWL_SQL, QUERIES_SQL, RESULTS_SQL, SOURCES_SQL
 from .ranking import DEFAULT as P
 
@@ -370,13 +370,14 @@ def c9_extract_generic(spark, sf_dir):
     return _in_order(dom.extract_generic(fx.read(spark, sf_dir, "pages")), "pos").select("page_id", "title", "url", "n", "snippet")
 
 
-def serp(spark, sf_dir) -> DataFrame:
-    """page_id, url, html: a result page for every query and engine, of at most twenty rows."""
+def serp(spark, sf_dir, tail: str = "") -> DataFrame:
+    """page_id, query_id, engine, url, html: a result page for every query and engine, of at most twenty rows;
+    tail ends every snippet."""
     esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    row = F.concat(F.lit("<div class='r'><h3><a href='"), "url", F.lit("'>"), esc("title"), F.lit("</a></h3><p>"), esc("snippet"), F.lit("</p></div>"))
+    row = F.concat(F.lit("<div class='r'><h3><a href='"), "url", F.lit("'>"), esc("title"), F.lit("</a></h3><p>"), esc("snippet"), F.lit(tail + "</p></div>"))
     r = fx.results(spark, sf_dir).groupBy(*GID).agg(F.sort_array(F.collect_list(F.struct("pos", row.alias("h")))).alias("rows"))
     body = F.array_join(F.transform("rows", lambda x: x["h"]), "\n")
-    return r.select(F.get("rows", F.lit(0))["pos"].alias("page_id"), F.lit("https://find.example/q").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    return r.select(F.get("rows", F.lit(0))["pos"].alias("page_id"), *GID, F.lit("https://find.example/q").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
 
 
 @query(f"WITH {RESULTS_SQL}, p AS (SELECT *, min(pos) OVER (PARTITION BY query_id, engine) AS page_id FROM results) SELECT page_id, url, count(*) AS n FROM p WHERE length(title) >= 3 GROUP BY ALL")
@@ -399,6 +400,56 @@ def d2_resolve_url(spark, sf_dir):
     return fx.results(spark, sf_dir).select("pos", text.resolve_url(href, F.col("url")).alias("target"))
 
 
+TAIL = " shown as a source listing"
+STRATEGY = selectors.Strategy("body > .r", ("h3 em", "h3 a", "h3"), ("h3 > a[href]", "a"), ("p.lead, p", "div"))
+_PAGED = f"paged AS (SELECT query_id, engine, min(pos) OVER (PARTITION BY query_id, engine) AS page_id, pos, title, url, trim(snippet || '{TAIL}') AS snippet FROM results)"
+_SEL = "sel AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM paged QUALIFY k = 1)"
+_PAT = f"""items AS (SELECT page_id, pos AS item, title || ' ' || snippet AS text FROM paged WHERE length(title) >= 3
+  UNION ALL SELECT p.page_id, -1, q.query FROM (SELECT DISTINCT page_id, query_id FROM paged) p JOIN queries q USING (query_id)), {tfidf.tfidf_sql('items', 'page_id')},
+pat AS (SELECT r.*, s.score FROM paged r JOIN scores s ON r.page_id = s.page_id AND r.pos = s.item WHERE {_LIKE} QUALIFY row_number() OVER (PARTITION BY r.page_id, r.url ORDER BY s.score DESC, r.pos) = 1)"""
+
+
+def asked(spark, sf_dir, pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "query_id").join(fx.queries(spark, sf_dir), "query_id").select("page_id", F.col("query").alias("text"))
+
+
+@query("""SELECT page_id, i AS n, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(x) AS a, generate_subscripts(x, 1) AS i
+  FROM (SELECT page_id, regexp_extract_all(replace(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '&amp;', '&'), '<a href="[^"]*"') AS x FROM pages))""")
+def c7_css_select(spark, sf_dir):
+    n = selectors.css_select(dom.explode_dom(fx.read(spark, sf_dir, "pages"), (), ()), "nav > ul a[href], nav a")
+    return _in_order(n, "pre").select("page_id", "n", F.col("attrs")["href"].alias("href"))
+
+
+@query(f"WITH {RESULTS_SQL}, {_PAGED}, {_SEL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n, title, url, snippet FROM sel")
+def c8_w6_extract_by_selectors(spark, sf_dir):
+    return _in_order(selectors.extract_by_selectors(serp(spark, sf_dir, TAIL), STRATEGY), "pos").select("page_id", "n", "title", "url", "snippet")
+
+
+@query(f"WITH {RESULTS_SQL}, {QUERIES_SQL}, {_PAGED}, {_PAT} SELECT page_id, title, url, snippet, score FROM pat")
+def t7_extract_by_pattern(spark, sf_dir):
+    pages = serp(spark, sf_dir, TAIL)
+    return selectors.extract_by_pattern(pages, asked(spark, sf_dir, pages)).select("page_id", "title", "url", "snippet", "score")
+
+
+@query(f"""WITH {RESULTS_SQL}, {_PAGED}, a AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos DESC) AS k FROM paged WHERE pos % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY length(snippet) DESC, pos) AS k FROM paged WHERE pos % 3 = 0)
+SELECT page_id, url, a.page_id IS NULL AS appended, CASE WHEN a.page_id IS NULL OR length(b.snippet) > length(a.snippet) THEN b.title ELSE a.title END AS title, CASE WHEN a.page_id IS NULL OR length(b.snippet) > length(a.snippet) THEN b.snippet ELSE a.snippet END AS snippet
+FROM (SELECT * FROM a WHERE k = 1) a FULL JOIN (SELECT * FROM b WHERE k = 1) b USING (page_id, url)""")
+def t14_j1_merge_routes(spark, sf_dir):
+    r = fx.results(spark, sf_dir)
+    r = r.join(r.groupBy(*GID).agg(F.min("pos").alias("page_id")), GID).withColumn("snippet", F.trim(F.concat("snippet", F.lit(TAIL)))).select("page_id", "pos", "title", "url", "snippet")
+    return selectors.merge_routes(r.filter("pos % 2 = 0"), r.filter("pos % 3 = 0")).select("page_id", "url", (F.col("route") == 1).alias("appended"), "title", "snippet")
+
+
+@query(f"""WITH {RESULTS_SQL}, {QUERIES_SQL}, {_PAGED}, {_SEL}, {_PAT}
+SELECT query_id, engine, url, CASE WHEN length(p.snippet) > length(s.snippet) THEN p.title ELSE s.title END AS title, CASE WHEN length(p.snippet) > length(s.snippet) THEN p.snippet ELSE s.snippet END AS snippet
+FROM sel s LEFT JOIN (SELECT page_id, url, title, snippet FROM pat) p USING (page_id, url)
+WHERE length(CASE WHEN length(p.snippet) > length(s.snippet) THEN p.title ELSE s.title END) >= 3 AND NOT {any_of('lower(url)', P.redirect_ads)} AND regexp_extract(url, '//([^/]*)', 1) NOT IN {in_(P.blocked_hosts)}""")
+def m1_extract(spark, sf_dir):
+    """Half of the engines by selectors, the others by generic rows; both merged with the pattern route."""
+    pages = serp(spark, sf_dir, TAIL)
+    return selectors.extract(pages, asked(spark, sf_dir, pages), {f"src{i}": STRATEGY for i in range(0, 20, 2)}).select(*GID, "url", "title", "snippet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
