@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import dom, neardup, ranking, selectors, sources, text, tfidf
+from . import ads, dom, neardup, ranking, selectors, sources, text, tfidf
 from .fixtures import CRAWL_SQL, QUERIES_SQL, RESULTS_SQL, SOURCES_SQL
 from .ranking import DEFAULT as P
 
@@ -326,6 +326,29 @@ def k2_status_per_window(spark, sf_dir):
 _DECODE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
 
+@query(f"SELECT page_id, {_DECODE.format('html')} AS html FROM pages")
+def d6_html_unescape(spark, sf_dir):
+    return fx.read(spark, sf_dir, "pages").select("page_id", text.html_unescape(F.col("html")).alias("html"))
+
+
+def ad_model(spark, sf_dir) -> ads.AdModel:
+    """Learned from all labelled documents."""
+    labels = fx.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return ads.train_ad_model(fx.read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), max_features=1000)
+
+
+@query("")
+def t10_t11_score_ads(spark, sf_dir):
+    """Without SQL: the weights are learned; tests hold them against a plain solver."""
+    rows = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ads.score_ads(rows, ad_model(spark, sf_dir)).select("doc_id", F.round("probability", 6).alias("probability"))
+
+
+@query("")
+def b11_ad_score(spark, sf_dir):
+    return ads.ad_score(fx.results(spark, sf_dir), ad_model(spark, sf_dir)).select(*GID, "pos", "score", "ad")
+
+
 def decoded(c: str) -> str:
     return f"trim(regexp_replace({_DECODE.format(c)}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,3 +118,39 @@ def resolve_url(href: Column, base: Column) -> Column:
         .when(given.startswith("//"), F.concat(base_scheme, F.lit(":"), given))
         .otherwise(F.concat(base_scheme, F.lit("://"), base_host, new_path, tail))
     )
+
+
+def _numbered() -> dict[int, str]:
+    """What a numeric reference stands for where that isn't its own code point: C1 controls by the Windows
+    code page, nothing for code points that are no characters."""
+    out = {0: "\ufffd", 0x0D: "\r"}
+    out |= {n: "" for n in (*range(0x1, 0x9), 0xB, *range(0xE, 0x20), 0x7F, *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF)))}
+    for n in range(0x80, 0xA0):
+        try:
+            out[n] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            out[n] = chr(n)
+    return out
+
+
+def html_unescape(c: Column) -> Column:
+    """Character references of HTML decoded: named ones, also old ones without a semicolon, and numeric ones."""
+    table = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
+    named, numbered = table(html5), table({str(k): v for k, v in _numbered().items()})
+    pieces = F.regexp_extract_all(c, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"), F.lit(0))
+
+    def number(s: Column) -> Column:
+        hexed = F.substring(s, 3, 1).isin("x", "X")
+        digits = F.regexp_extract(s, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        small = F.when(F.length(digits) <= 8, digits).otherwise("110000")
+        n = F.when(F.length(digits) > 8, 0x110000).when(digits == "", 0).when(hexed, F.conv(small, 16, 10)).otherwise(small).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(numbered, n.cast("string")), F.when(((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF), "\ufffd").otherwise(char))
+
+    def name(s: Column) -> Column:
+        # names that may lack their semicolon have two to six letters
+        short = [F.when(F.length(s) > k + 1, F.concat(F.try_element_at(named, F.substring(s, 2, k)), F.substring(s, k + 2, 64))) for k in range(6, 1, -1)]
+        return F.coalesce(F.try_element_at(named, F.substring(s, 2, 64)), *short, s)
+
+    piece = lambda s: F.when(s.rlike("^&#[0-9]|^&#[xX][0-9a-fA-F]"), number(s)).when(s.startswith("&") & (F.length(s) > 1), name(s)).otherwise(s)
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
