@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from html.entities import html5
 
@@ -135,8 +134,11 @@ def _numbered() -> dict[int, str]:
 
 def html_unescape(c: Column) -> Column:
     """Character references of HTML decoded: named ones, also old ones without a semicolon, and numeric ones."""
-    table = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,string>")
-    named, numbered = table(html5), table({str(k): v for k, v in _numbered().items()})
+    # a map of literals, which the optimizer folds into one constant
+    escaped = lambda v: "".join(f"\\U{ord(x):08x}" for x in v)
+    table = lambda d: F.expr("map(" + ", ".join(f"'{k}', '{escaped(v)}'" for k, v in d.items()) + ")")
+    ended, open_ended = (table({k: v for k, v in html5.items() if k.endswith(";") == e}) for e in (True, False))
+    numbered = table(_numbered())
     pieces = F.regexp_extract_all(c, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"), F.lit(0))
 
     def number(s: Column) -> Column:
@@ -149,8 +151,8 @@ def html_unescape(c: Column) -> Column:
 
     def name(s: Column) -> Column:
         # names that may lack their semicolon have two to six letters
-        short = [F.when(F.length(s) > k + 1, F.concat(F.try_element_at(named, F.substring(s, 2, k)), F.substring(s, k + 2, 64))) for k in range(6, 1, -1)]
-        return F.coalesce(F.try_element_at(named, F.substring(s, 2, 64)), *short, s)
+        short = [F.when(F.length(s) > k + 1, F.concat(F.try_element_at(open_ended, F.substring(s, 2, k)), F.substring(s, k + 2, 64))) for k in range(6, 1, -1)]
+        return F.coalesce(F.when(s.endswith(";"), F.try_element_at(ended, F.substring(s, 2, 64))), *short, s)
 
     piece = lambda s: F.when(s.rlike("^&#[0-9]|^&#[xX][0-9a-fA-F]"), number(s)).when(s.startswith("&") & (F.length(s) > 1), name(s)).otherwise(s)
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
