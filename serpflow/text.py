@@ -151,7 +151,7 @@ def html_unescape(c: Column) -> Column:
 
     def name(s: Column) -> Column:
         # names that may lack their semicolon have two to six letters
-        short = [F.when(F.length(s) > k + 1, F.concat(F.try_element_at(open_ended, F.substring(s, 2, k)), F.substring(s, k + 2, 64))) for k in range(6, 1, -1)]
+        short = [F.when(F.length(s) > k, F.concat(F.try_element_at(open_ended, F.substring(s, 2, k)), F.substring(s, k + 2, 64))) for k in range(6, 1, -1)]
         return F.coalesce(F.when(s.endswith(";"), F.try_element_at(ended, F.substring(s, 2, 64))), *short, s)
 
     piece = lambda s: F.when(s.rlike("^&#[0-9]|^&#[xX][0-9a-fA-F]"), number(s)).when(s.startswith("&") & (F.length(s) > 1), name(s)).otherwise(s)
