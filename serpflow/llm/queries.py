@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_hnsw, op2_decision_list, op3_toxicity, op4_preference, op5_jaccard_join, op6_chat_format, op7_token_count, op8_mixing, op9_context_mixing, op10_packing
+from . import op1_hnsw, op2_decision_list, op3_toxicity, op4_preference, op5_jaccard_join, op6_chat_format, op7_token_count, op8_mixing, op9_context_mixing, op10_packing, op11_extraction, op12_alignment, op13_hard_negatives
 from .common import read
 
 #: A conversation whose texts are the template's own control strings.
@@ -58,6 +58,28 @@ def op10_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
 
 
+def op11_ratio_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_extraction.extract_main(read(spark, sf_dir, "pages"))
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_alignment.align_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_secondary_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op13_hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+_OP13_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+w AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS r FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM w WHERE r <= 5"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,11 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_hnsw_near_duplicates, op2_decision_list_rules, op3_lexicon_toxicity, op4_pairwise_quality, op5_adaptive_jaccard, op6_chat_round_trip, op7_heap_token_counts, op8_source_mixing, op9_context_mixing_scores, op10_genetic_packing, pipeline)
+    ops = (op1_hnsw_near_duplicates, op2_decision_list_rules, op3_lexicon_toxicity, op4_pairwise_quality, op5_adaptive_jaccard, op6_chat_round_trip, op7_heap_token_counts, op8_source_mixing, op9_context_mixing_scores, op10_genetic_packing, op11_ratio_extraction, op12_lockstep_alignment, op13_secondary_sort_negatives, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each result has columns that SQL over the tables can't give (learned verdicts, hashes of a
-    sampler, trained merges, packings).  tests/llm hold every query against a brute-force version."""
-    return {}
+    """Where SQL over the tables gives the same rows; other results have columns it can't give (learned verdicts,
+    hashes of a sampler, trained merges, packings), which tests/llm hold against brute force where there is one."""
+    return {"op13_secondary_sort_negatives": _OP13_SQL}
