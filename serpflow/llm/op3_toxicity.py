@@ -1,17 +1,19 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, look-alike letters of other scripts and digit substitutions to Latin
-letters.  The lexicon is learned from labelled texts: words, and stems of several words, that toxic texts use in several different
-contexts and other texts hardly at all, each weighted by its log odds.  Contexts, the word before, are
-counted in place of texts, so copies of one text do not make its words toxic.  Two-word phrases in which a
+letters.  The lexicon is learned from labelled texts: words, and stems of several words, that occur in several
+toxic texts and in hardly any other, each weighted by its log odds.  Both sides count different texts, so
+copies of one text do not make its words toxic.  Two-word phrases in which a
 lexicon word occurs in other texts become exception phrases: a hit inside one does not count.  A text's
-hits, their weight and their weight per length go through a logistic curve fitted on the same rows.
+hits, their weight and their weight per length go through a logistic curve.  It is fitted on each half of the texts by
+a lexicon learned from the other half, so that words that are toxic by chance weigh as little as they should.
 
-Labels are read from a sample of labelled rows, by a hash of the id, of about ``max_labelled``; the lexicon
-has at most ``max_lexicon`` entries, so model and automaton are of bounded size.
+Labels are read from a sample of labelled rows, by a hash of the id, of about ``max_labelled``, so model and
+automaton are of bounded size.
 
 Defined results: null and empty texts have no hits and the score of such; repeated rows give repeated
-rows; without toxic labels every score is 0; extra columns are left alone.
+rows; of several labels of one id the highest counts, as of several labels of one text; without labels of both
+kinds, as with empty tables, every score is 0; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     #: Logistic curve over measures().
-    curve: list[float] = field(default_factory=lambda: [-30.0, 0.0, 0.0, 0.0])
+    curve: list[float] = field(default_factory=lambda: [-30.0, 0.0, 0.0, 0.0, 0.0])
 
     def automaton(self):
         auto = ahocorasick.Automaton()
@@ -101,16 +103,19 @@ def hit_weight(auto, text: str) -> tuple[float, int]:
             if h[1] > reach:
                 out.append(h)
         hits = out
-    return sum(h[2] for h in hits), len(hits)
+    # an entry said again and again is one
+    said = {text[s : e + 1]: w for s, e, w in hits}
+    return sum(said.values()), len(said)
 
 
-def measures(auto, text: str | None) -> tuple[float, float, float, float]:
-    """1, whether there is a hit, log of the hit weight, log of the hit weight per 100 words or so."""
+def measures(auto, text: str | None) -> tuple[float, float, float, float, float]:
+    """1, whether there is a hit, whether there are two different ones, log of the hit weight, log of the hit
+    weight per 100 words or so."""
     if not text or not len(auto):
-        return 1.0, 0.0, 0.0, 0.0
+        return 1.0, 0.0, 0.0, 0.0, 0.0
     folded = fold(text)
     weight, hits = hit_weight(auto, folded)
-    return 1.0, float(hits > 0), math.log1p(max(weight, 0.0)), math.log1p(max(weight, 0.0) * 600 / (len(folded) + 100))
+    return 1.0, float(hits > 0), float(hits > 1), math.log1p(weight), math.log1p(weight * 600 / (len(folded) + 100))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -143,52 +148,62 @@ def bounded_sample(rows: DataFrame, bound: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * bound / n))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_lexicon: int = 4096, min_contexts: int = 6, min_evidence: float = 25.0, min_weight: float = 3.0, min_completions: int = 5) -> Lexicon:
-    """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic)."""
-    known = bounded_sample(labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"]), max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y").filter("text is not null")
-    rows = table(rows, "labelled")
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, min_texts: int = 4, min_share: float = 0.004, min_precision: float = 0.8, min_completions: int = 5) -> Lexicon:
+    """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic).
 
-    def contexts(batches):
-        """Distinct (word, word before) of toxic texts."""
-        for pdf in batches:
-            seen = set()
-            for t in pdf.loc[pdf["y"] == 1, "text"]:
-                w = TOKEN.findall(fold(t))
-                seen.update(zip(w, [""] + w))
-            yield pd.DataFrame([(e, c, w) for w, c in seen for e in entries(w)], columns=["w", "c", "full"])
-
-    toxic = rows.mapInPandas(contexts, "w string, c string, full string").distinct().groupBy("w").agg(F.count("*").alias("count"), F.approx_count_distinct("full").alias("fulls"))
-    toxic = toxic.filter(F.col("count") >= min_contexts).filter(F.length("w") >= 3).filter(~F.col("w").endswith("*") | (F.col("fulls") >= min_completions))
-    total = rows.groupBy("y").agg(F.sum(F.length("text")).alias("chars")).collect()
-    chars = {r["y"]: r["chars"] for r in total}
-    if 1 not in chars or 0 not in chars:
+    An entry has to occur in min_texts toxic texts and in a share of min_share of them, and toxic texts have to be
+    min_precision of the labelled texts it occurs in; a stem must have that many completions too.
+    """
+    known = bounded_sample(labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")), max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter("text is not null")
+    # copies are one text; the halves are for the curve, which is fitted on texts its lexicon was not learned from
+    rows = table(rows.groupBy("text").agg(F.max("y").alias("y")).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled")
+    texts = {(r["y"], r["half"]): r["count"] for r in rows.groupBy("y", "half").count().collect()}
+    size = {y: sum(n for (z, _), n in texts.items() if z == y) for y in (0, 1)}
+    if not size[0] or not size[1]:
         return Lexicon()
-    found = {r["w"]: r["count"] for r in toxic.collect()}  # at most one in min_contexts tokens of the sample
+    least = max(min_texts, math.ceil(min_share * size[1]))
+
+    def toxic_entries(batches):
+        """Entries of every toxic text, each once, with the words they came from."""
+        for pdf in batches:
+            out = []
+            for t, half in zip(pdf.loc[pdf["y"] == 1, "text"], pdf.loc[pdf["y"] == 1, "half"]):
+                first = {}
+                for w in sorted(set(TOKEN.findall(fold(t)))):
+                    for e in entries(w):
+                        first.setdefault(e, w)
+                out += [(e, w, half) for e, w in first.items()]
+            yield pd.DataFrame(out, columns=["w", "full", "half"])
+
+    toxic = rows.mapInPandas(toxic_entries, "w string, full string, half int").filter(F.length("w") >= 3)
+    toxic = toxic.groupBy("w").agg(F.count_if(F.col("half") == 0).alias("n0"), F.count_if(F.col("half") == 1).alias("n1"), F.approx_count_distinct("full").alias("fulls"))
+    toxic = toxic.filter(F.col("n0") + F.col("n1") >= least).filter(~F.col("w").endswith("*") | (F.col("fulls") >= min_completions))
+    found = {r["w"]: (r["n0"], r["n1"]) for r in toxic.collect()}  # words of a bounded sample
     names = set(found)
 
-    def others(batches):
-        """Occurrences in the other texts of those words, and of the phrases around them."""
+    def other_texts(batches):
+        """In how many other texts those entries occur."""
         for pdf in batches:
             n: Counter = Counter()
-            for t in pdf.loc[pdf["y"] != 1, "text"]:
-                w = TOKEN.findall(fold(t))
-                n.update(names.intersection(e for x in set(w) for e in entries(x)))
-            yield pd.DataFrame(list(n.items()), columns=["w", "n"])
-
-    clean = {r["w"]: r["n"] for r in rows.mapInPandas(others, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-    share = chars[1] / (chars[0] + chars[1])
-    weights = {}
-    for w, a in found.items():
-        b = clean.get(w, 0)
-        weight = math.log((a + 0.5) / share) - math.log((b + 0.5) / (1 - share))
-        evidence = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
-        stem = w.endswith("*")  # reaches words not met yet, so it takes more to believe it
-        if weight >= min_weight * (1.1 if stem else 1) and evidence >= min_evidence * (3 if stem else 1):
-            weights[w] = min(weight, 10.0)
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:max_lexicon])
-    lexicon = Lexicon(weights)
-    suspects = {w for w in weights if clean.get(w, 0) >= 3 and w[-1] != "*"}
+            for t, half in zip(pdf.loc[pdf["y"] == 0, "text"], pdf.loc[pdf["y"] == 0, "half"]):
+                n.update((e, half) for e in names.intersection(e for x in set(TOKEN.findall(fold(t))) for e in entries(x)))
+            yield pd.DataFrame([(w, half, k) for (w, half), k in n.items()], columns=["w", "half", "n"])
+
+    clean = {(r["w"], r["half"]): r["n"] for r in rows.mapInPandas(other_texts, "w string, half int, n long").groupBy("w", "half").agg(F.sum("n").alias("n")).collect()}
+
+    def weighted(halves: tuple[int, ...], least: int) -> dict[str, float]:
+        """Entries that the texts of some halves bear out, by their log odds."""
+        of = {y: sum(texts.get((y, h), 0) for h in halves) for y in (0, 1)}
+        out = {}
+        for w, n in found.items():
+            a, b = sum(n[h] for h in halves), sum(clean.get((w, h), 0) for h in halves)
+            if a >= least and a >= min_precision * (a + b):
+                out[w] = math.log((a + 0.5) / (of[1] + 1)) - math.log((b + 0.5) / (of[0] + 1))
+        return {w: v for w, v in sorted(out.items(), key=lambda x: (-x[1], x[0])) if v > 0}
+
+    lexicon = Lexicon(weighted((0, 1), least))
+    suspects = {w for w in lexicon.weights if sum(clean.get((w, h), 0) for h in (0, 1)) >= 3 and w[-1] != "*"}
     if suspects:
 
         def phrases(batches):
@@ -201,17 +216,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_le
                 yield pd.DataFrame([(p, y, n) for (p, y), n in seen.items()], columns=["p", "y", "n"])
 
         around = rows.mapInPandas(phrases, "p string, y int, n long").groupBy("p").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("b"))
-        lexicon.exceptions = [r["p"] for r in around.filter("a = 0 and b >= 3").orderBy(F.desc("b"), "p").limit(max_lexicon).collect()]
+        lexicon.exceptions = sorted(r["p"] for r in around.filter("a = 0 and b >= 3").collect())
+    halves = [Lexicon(weighted((1 - h,), max(2, least // 2)), lexicon.exceptions) for h in (0, 1)]
 
     def measured(batches):
-        auto = lexicon.automaton()
+        autos = [x.automaton() for x in halves]
         for pdf in batches:
-            yield pd.DataFrame([(*measures(auto, t), y) for t, y in zip(pdf["text"], pdf["y"])], columns=["a", "b", "c", "d", "y"])
+            yield pd.DataFrame([(*measures(autos[h], t), y) for t, y, h in zip(pdf["text"], pdf["y"], pdf["half"])], columns=["a", "b", "c", "d", "e", "y"])
 
-    fit = rows.mapInPandas(measured, "a double, b double, c double, d double, y int").groupBy("a", "b", F.round("c", 1).alias("c"), F.round("d", 1).alias("d"), "y").count().collect()
-    m = np.array([(r["a"], r["b"], r["c"], r["d"], r["y"], r["count"]) for r in fit], dtype=float)
-    x, y = np.repeat(m[:, :4], m[:, 5].astype(int), axis=0), np.repeat(m[:, 4], m[:, 5].astype(int))
-    lexicon.curve = logistic(x, y).tolist()
+    fit = rows.mapInPandas(measured, "a double, b double, c double, d double, e double, y int").groupBy("a", "b", "c", F.round("d", 1).alias("d"), F.round("e", 1).alias("e"), "y").count().collect()
+    m = np.array([(r["a"], r["b"], r["c"], r["d"], r["e"], r["y"], r["count"]) for r in sorted(fit)], dtype=float)
+    lexicon.curve = logistic(np.repeat(m[:, :5], m[:, 6].astype(int), axis=0), np.repeat(m[:, 5], m[:, 6].astype(int))).tolist()
     return lexicon
 
 
@@ -227,7 +242,7 @@ def toxicity(text: Column, lexicon: Lexicon) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         auto = _automaton(words, exceptions)
-        z = np.array([measures(auto, t) for t in texts], dtype=float).reshape(-1, 4) @ np.array(curve)
+        z = np.array([measures(auto, t) for t in texts], dtype=float).reshape(-1, 5) @ np.array(curve)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     return score(text)

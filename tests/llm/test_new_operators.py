@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from serpflow.llm import op11_extraction, op12_alignment, op13_hard_negatives
+from serpflow.llm import op3_toxicity, op11_extraction, op12_alignment, op13_hard_negatives
 
 LINE = "A sentence of the article that goes on for a while, with commas and with words to read."
 PAGES = {
@@ -139,3 +139,23 @@ def test_keys_sort_by_anchor_then_falling_score_then_id():
     assert sorted(keys, key=lambda k: op13_hard_negatives.pack(*k)) == sorted(keys, key=lambda k: (k[0], -k[1], k[2]))
     big = np.array([[2.0**40, 1.0]])
     assert op13_hard_negatives.scores(big, np.array([[2.0**20, 3.0]]))[0, 0] == 2**60 + 3
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = op3_toxicity.score_documents(docs, labels).filter("held_out").join(labels.filter("toxic is not null"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in held}
+    hit, missed, wrong = n.get((1, 1), 0), n.get((1, 0), 0), n.get((0, 1), 0)
+    assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + wrong) and n[0, 0] > 1000
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, f"a{i % 7} b{i % 11} {'vile cruel' if i % 4 == 0 else 'mild'} c{i % 13} number {i}") for i in range(300)]
+    odd = [(4, rows[4][1]), (1, "another text of one id"), (900, "x " * 200_000 + "vile, cruel"), (901, "Vile ＣＲＵＥＬ cr\u00aduel"), (902, ""), (903, None), (None, "vile cruel")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").selectExpr("*", "'x' as score", "3 as y", "1 as half")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(5, None), (None, 1), (8, 0)], "doc_id long, toxic int")
+    got = op3_toxicity.score_documents(docs, labels).collect()
+    assert len(got) == len(rows) + len(odd)
+    verdict = {r["doc_id"]: r["predicted"] for r in got if r["doc_id"] != 1}
+    assert [verdict[k] for k in (901, 902, 903, None)] == [1, 0, 0, 1] and all(verdict[i] == int(i % 4 == 0) for i, _ in rows if i != 1)
