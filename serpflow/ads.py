@@ -29,7 +29,7 @@ class AdModel:
 
 def _grams(df: DataFrame, lo: int, hi: int, stop: tuple[str, ...]) -> DataFrame:
     tokens = word_tokens(F.coalesce("text", F.lit("")))
-    return df.withColumn("_tokens", stop_filter(tokens, stop) if stop else tokens).withColumn("_grams", word_ngrams("_tokens", lo, hi)).drop("_tokens")
+    return df.withColumn("_tokens", stop_filter(tokens, stop) if stop else tokens).withColumn("_grams", word_ngrams(F.col("_tokens"), lo, hi)).drop("_tokens")
 
 
 def train_ad_model(labelled: DataFrame, lo: int = 1, hi: int = 2, stop: tuple[str, ...] = (), c: float = 1.0, max_features: int | None = None, iterations: int = 1000) -> AdModel:

@@ -64,18 +64,18 @@ def t1_word_tokens(spark, sf_dir):
     return r.select("pos", F.array_join(text.word_tokens(F.concat("title", F.lit(" "), "snippet")), " ").alias("tokens"))
 
 
-@query(f"""WITH {RESULTS_SQL}, t AS (SELECT query_id, lower(title) AS t FROM results)
+@query(f"""WITH {RESULTS_SQL}, t AS (SELECT query_id, lower(title || ' ' || snippet) AS t FROM results)
 SELECT query_id, gram, count(*) AS n FROM (SELECT query_id, unnest(flatten(list_transform(range(2, 5), lambda n: list_transform(range(1, CAST(length(t) AS BIGINT) - n + 2), lambda i: substring(t, i, n))))) AS gram FROM t) GROUP BY ALL""")
 def t2_char_ngrams(spark, sf_dir):
-    r = fx.results(spark, sf_dir).select("query_id", F.lower("title").alias("t"))
-    return r.select("query_id", F.explode(text.char_ngrams("t", 2, 4)).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("n"))
+    r = fx.results(spark, sf_dir).select("query_id", F.concat("title", F.lit(" "), "snippet").alias("t"))
+    return r.select("query_id", F.explode(text.char_ngrams(F.col("t"), 2, 4)).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {RESULTS_SQL}, t AS (SELECT query_id, {_TOK} AS t FROM results)
 SELECT query_id, gram, count(*) AS n FROM (SELECT query_id, unnest(flatten(list_transform(range(1, 4), lambda n: list_transform(range(1, CAST(len(t) AS BIGINT) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))))) AS gram FROM t) GROUP BY ALL""")
 def t3_word_ngrams(spark, sf_dir):
     r = fx.results(spark, sf_dir).select("query_id", text.word_tokens(F.concat("title", F.lit(" "), "snippet")).alias("t"))
-    return r.select("query_id", F.explode(text.word_ngrams("t", 1, 3)).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("n"))
+    return r.select("query_id", F.explode(text.word_ngrams(F.col("t"), 1, 3)).alias("gram")).groupBy("query_id", "gram").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {RESULTS_SQL} SELECT pos, array_to_string(list_filter({_TOK}, lambda x: x NOT IN {in_(STOP)}), ' ') AS tokens FROM results")
@@ -99,6 +99,21 @@ def t6_cosine_to_query(spark, sf_dir):
     return scored(spark, sf_dir).select(*GID, "pos", "score")
 
 
+#: The settings of both built-in profiles: characters, and words with stop words.
+CHARS_800 = tfidf.Analyzer("char", 2, 4, cap=800, sublinear=True)
+WORDS_1000 = tfidf.Analyzer("word", 1, 3, stop=STOP, cap=1000, sublinear=True)
+
+
+@query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine', CHARS_800)} SELECT query_id, engine, item AS pos, score FROM scores")
+def t6_cosine_by_characters(spark, sf_dir):
+    return tfidf.cosine_to_query(items_of(spark, sf_dir), per_group_queries(spark, sf_dir), GID, CHARS_800).withColumnRenamed("item", "pos")
+
+
+@query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine', WORDS_1000)} SELECT query_id, engine, item AS pos, score FROM scores")
+def t6_cosine_by_capped_words(spark, sf_dir):
+    return tfidf.cosine_to_query(items_of(spark, sf_dir), per_group_queries(spark, sf_dir), GID, WORDS_1000).withColumnRenamed("item", "pos")
+
+
 @query(f"""WITH {SCORED_SQL}, x AS (SELECT *, max(score) OVER (PARTITION BY query_id, engine) AS best, CASE WHEN engine IN {in_(P.major)} THEN {P.tiers[0]} WHEN engine IN {in_(P.middle)} THEN {P.tiers[1]} ELSE {P.tiers[2]} END AS least FROM scored)
 SELECT query_id, engine, pos, url, score FROM x WHERE score >= least AND (least < {P.tiers[2]} OR best >= {P.least_group_max})""")
 def t8_filter_by_relevance(spark, sf_dir):
@@ -126,7 +141,7 @@ def t12_copies(spark, sf_dir):
 
 @query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine')} SELECT query_id, engine, term, df FROM dfs")
 def g7_document_frequency(spark, sf_dir):
-    both = items_of(spark, sf_dir).unionByName(per_group_queries(spark, sf_dir).withColumn("item", F.lit(-1).cast("long")))
+    both = tfidf.with_queries(items_of(spark, sf_dir), per_group_queries(spark, sf_dir), GID)
     return tfidf.grams(both, GID).groupBy(*GID, "term").agg(F.count("*").alias("df"))
 
 
@@ -137,9 +152,8 @@ def g8_group_maximum(spark, sf_dir):
 
 @query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine')} SELECT query_id, engine, item, round(norm, 6) AS norm FROM norms")
 def w7_item_norms(spark, sf_dir):
-    both = items_of(spark, sf_dir).unionByName(per_group_queries(spark, sf_dir).withColumn("item", F.lit(-1).cast("long")))
-    w = tfidf.weigh(tfidf.grams(both, GID), both.groupBy(*GID).agg(F.count("*").alias("n")), GID)
-    return tfidf.norms(w, GID).withColumn("norm", F.round("norm", 6))
+    both = tfidf.with_sizes(tfidf.with_queries(items_of(spark, sf_dir), per_group_queries(spark, sf_dir), GID), GID)
+    return tfidf.norms(tfidf.weigh(both, GID), GID).withColumn("norm", F.round("norm", 6))
 
 
 @query(f"WITH {SCORED_SQL} SELECT query_id, engine, pos, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY score DESC, pos) AS INT) AS rank FROM scored) WHERE rank <= 5")

@@ -19,29 +19,34 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
-def word_ngrams(tokens: str, lo: int, hi: int) -> Column:
-    """All runs of lo to hi tokens of an array column, joined by one space."""
-    t = F.col(tokens)
-    parts = []
-    for n in range(lo, hi + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), _run(t, n)) if n > 1 else t
-        parts.append(F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+def word_ngrams(tokens: Column, lo: int, hi: int) -> Column:
+    """All runs of lo to hi tokens of an array, joined by one space."""
+    return _runs(tokens, lo, hi, " ")
 
 
-def char_ngrams(text: str, lo: int, hi: int) -> Column:
-    """All substrings of lo to hi characters of a text column, lower-cased, white space runs as one space."""
-    t = F.col(text)
-    parts = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), _sub(t, n))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
-    return F.concat(*parts)
+def char_ngrams(text: Column, lo: int, hi: int) -> Column:
+    """All substrings of lo to hi characters of a text, lower-cased."""
+    return _runs(F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0)), lo, hi, "")
 
 
-def _run(t: Column, n: int):
-    return lambda i: F.array_join(F.slice(t, i, n), " ")
+def _bind(value: Column, use) -> Column:
+    """An array expression made of another array, which is worked out once."""
+    return F.flatten(F.transform(F.array(value), use))
 
 
-def _sub(t: Column, n: int):
-    return lambda i: F.substring(t, i, F.lit(n))
+def _runs(parts: Column, lo: int, hi: int, glue: str) -> Column:
+    """Runs of neighbouring parts: each length is the one before, paired with the parts further on."""
+    none = F.array().cast("array<string>")
+
+    def grow(t: Column, run: Column, n: int) -> Column:
+        here = run if n >= lo else none
+        if n == hi:
+            return here
+        later = F.when(F.size(t) > n, F.slice(t, n + 1, F.size(t))).otherwise(none)
+        longer = F.array_compact(F.zip_with(run, later, lambda a, b: F.concat(a, F.lit(glue), b)))
+        return F.concat(here, _bind(longer, lambda r: grow(t, r, n + 1)))
+
+    return _bind(parts, lambda t: grow(t, t, 1))
 
 
 def stop_filter(tokens: Column, stop: tuple[str, ...]) -> Column:

@@ -1,65 +1,124 @@
 """Grouped TF-IDF over long tables, and cosine of every item to its group's query.
 
-Norms, sizes and document frequencies are grouped aggregates joined back, so a large group is combined
-map-side and never sits in one window.
+Terms are counted where each item's row lies; the counts are then dealt once by (group, term), where document
+frequencies, the vocabulary's limit and the query's own counts are found and joined without another shuffle, and
+the sums of every item are combined map-side.  No group sits in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import stop_filter, word_ngrams, word_tokens
+from .text import char_ngrams, stop_filter, word_ngrams, word_tokens
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """How texts become weighted terms: words or characters, the lengths of runs, words left out before runs are
+    made, how many of a group's most frequent terms count (all if None), 1 + ln(count) in place of counts."""
+
+    kind: str = "word"
+    lo: int = 1
+    hi: int = 2
+    stop: tuple[str, ...] = ()
+    cap: int | None = None
+    sublinear: bool = False
+
+    def terms(self, text: Column) -> Column:
+        """All terms of a text, repeats included."""
+        if self.kind == "char":
+            return char_ngrams(F.regexp_replace(text, r"(?U)\s\s+", " "), self.lo, self.hi)
+        tokens = word_tokens(text)
+        return word_ngrams(stop_filter(tokens, self.stop) if self.stop else tokens, self.lo, self.hi)
+
+    def count(self, tf: Column) -> Column:
+        return 1 + F.log(tf) if self.sublinear else tf
+
+
+WORDS = Analyzer()
 
 
-def grams(items: DataFrame, gid: list[str], lo: int = 1, hi: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
-    """gid, item, term, tf of items (gid, item, text)."""
-    t = word_tokens(F.col("text"))
-    d = items.select(*gid, "item", (stop_filter(t, stop) if stop else t).alias("_t"))
-    return d.select(*gid, "item", F.explode(word_ngrams("_t", lo, hi)).alias("term")).groupBy(*gid, "item", "term").agg(F.count("*").alias("tf"))
+def grams(items: DataFrame, gid: list[str], a: Analyzer = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """gid, item, columns carried along, term, tf of items (gid, item, text).  Texts are dealt by item before they
+    are taken apart, so that terms are counted without another shuffle."""
+    dealt = items.select(*gid, "item", *carry, "text").repartition(*gid, "item")
+    return dealt.select(*gid, "item", *carry, F.explode(a.terms(F.col("text"))).alias("term")).groupBy(*gid, "item", *carry, "term").agg(F.count("*").alias("tf"))
 
 
-def weigh(tf: DataFrame, sizes: DataFrame, gid: list[str], sublinear: bool = False) -> DataFrame:
-    """gid, item, term, w, not yet of unit length; sizes has gid and n, which counts items without terms too."""
-    df = tf.groupBy(*gid, "term").agg(F.count("*").alias("df"))
-    x = tf.join(df, [*gid, "term"])
-    x = x.join(sizes, gid) if gid else x.join(F.broadcast(sizes))
-    count = 1 + F.log("tf") if sublinear else F.col("tf")
-    return x.select(*gid, "item", "term", (count * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+def with_sizes(items: DataFrame, gid: list[str], n: Column | None = None) -> DataFrame:
+    """Add n, the number of items of the group, items without terms included."""
+    sizes = items.groupBy(*gid).agg((F.count("*") if n is None else n).alias("n"))
+    return items.join(sizes, gid) if gid else items.crossJoin(F.broadcast(sizes))  # one row
+
+
+def vocabulary(tf: DataFrame, gid: list[str], cap: int | None, *more: Column, df: Column | None = None) -> DataFrame:
+    """gid, term, df and any more of the terms that count: the cap most frequent ones of each group, the first in
+    order where several are equally frequent.  Each partition's best are found before a group's rows meet."""
+    v = tf.groupBy(*gid, "term").agg((F.count("*") if df is None else df).alias("df"), F.sum("tf").alias("total"), F.max("n").alias("n_all"), *more)
+    if cap is not None:
+        w = (Window.partitionBy(*gid) if gid else Window.partitionBy(F.lit(0))).orderBy(F.desc("total"), "term")
+        v = v.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= cap).drop("_k")
+    return v.drop("total")
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
+
+
+def weigh(items: DataFrame, gid: list[str], a: Analyzer = WORDS, *more: Column, carry: tuple[str, ...] = (), df: Column | None = None) -> DataFrame:
+    """gid, item, term, w and what else the vocabulary was asked for; items have n.  Not yet of unit length."""
+    tf = grams(items, gid, a, ("n", *carry)).repartition(*gid, "term")
+    v = vocabulary(tf, gid, a.cap, *more, df=df)
+    # both sides name n, so that they read the same columns of one exchange
+    x = tf.join(v, [*gid, "term"]).withColumn("n", F.least("n", "n_all")).drop("n_all")
+    return x.withColumn("w", a.count(F.col("tf")) * idf(F.col("n"), F.col("df")))
 
 
 def norms(weights: DataFrame, gid: list[str]) -> DataFrame:
     return weights.groupBy(*gid, "item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def cosine_to_query(items: DataFrame, queries: DataFrame, gid: list[str], lo: int = 1, hi: int = 2, stop: tuple[str, ...] = (), sublinear: bool = False, digits: int = 6) -> DataFrame:
+def with_queries(items: DataFrame, queries: DataFrame, gid: list[str]) -> DataFrame:
+    """Items (gid, item, text) and each group's query as one item of it, -1."""
+    return items.select(*gid, "item", "text").unionByName(queries.select(*gid, F.lit(-1).cast("long").alias("item"), "text"))
+
+
+def cosine_to_query(items: DataFrame, queries: DataFrame, gid: list[str], a: Analyzer = WORDS, digits: int = 6) -> DataFrame:
     """gid, item, score for every item (gid, item, text); queries (gid, text) count as one item each."""
-    q = queries.select(*gid, F.lit(-1).cast("long").alias("item"), "text")
-    both = items.select(*gid, "item", "text").unionByName(q)
-    sizes = both.groupBy(*gid).agg(F.count("*").alias("n"))
-    w = weigh(grams(both, gid, lo, hi, stop), sizes, gid, sublinear)
-    n = norms(w, gid)
-    ask = w.filter("item = -1").select(*gid, "term", F.col("w").alias("wq"))
-    dot = w.filter("item <> -1").join(ask, [*gid, "term"]).groupBy(*gid, "item").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    dot = dot.join(n, [*gid, "item"]).join(n.filter("item = -1").select(*gid, F.col("norm").alias("nq")), gid)
-    score = dot.select(*gid, "item", F.round(F.col("dot") / F.col("norm") / F.col("nq"), digits).alias("score"))
+    both = with_sizes(with_queries(items, queries, gid), gid)
+    w = weigh(both, gid, a, F.max(F.when(F.col("item") == -1, F.col("tf"))).alias("asked"))
+    asked = F.coalesce(a.count(F.col("asked")) * idf(F.col("n"), F.col("df")), F.lit(0.0))
+    sums = w.groupBy(*gid, "item").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * asked).alias("dot"))
+    # the query's own row of a group meets the group's items: one small row each
+    of = sums.filter("item = -1").select(*gid, F.col("norm").alias("nq"))
+    score = sums.filter("item <> -1").join(of, gid) if gid else sums.filter("item <> -1").crossJoin(F.broadcast(of))
+    score = score.select(*gid, "item", F.round(F.col("dot") / F.col("norm") / F.col("nq"), digits).alias("score"))
     return items.select(*gid, "item").join(score, [*gid, "item"], "left").fillna(0.0, ["score"])
 
 
-def tfidf_sql(items: str, gid: str, lo: int = 1, hi: int = 2, stop: tuple[str, ...] = ()) -> str:
+def tfidf_sql(items: str, gid: str, a: Analyzer = WORDS) -> str:
     """CTEs terms, weights, norms, scores over a CTE of that name with gid, item (-1: the query), text."""
-    tokens = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
-    if stop:
-        tokens = f"list_filter({tokens}, lambda x: x NOT IN ({', '.join(repr(s) for s in stop)}))"
-    runs = " UNION ALL ".join(f"SELECT {gid}, item, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n} - 1], ' '))) AS term FROM toks WHERE len(t) >= {n}" for n in range(lo, hi + 1))
+    if a.kind == "char":
+        tokens = "regexp_replace(lower(text), '[\\s\\p{Z}]{2,}', ' ', 'g')"
+        runs = " UNION ALL ".join(f"SELECT {gid}, item, unnest(list_transform(range(1, CAST(length(t) AS BIGINT) - {n} + 2), lambda i: substring(t, i, {n}))) AS term FROM toks WHERE length(t) >= {n}" for n in range(a.lo, a.hi + 1))
+    else:
+        tokens = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+        if a.stop:
+            tokens = f"list_filter({tokens}, lambda x: x NOT IN ({', '.join(repr(s) for s in a.stop)}))"
+        runs = " UNION ALL ".join(f"SELECT {gid}, item, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n} - 1], ' '))) AS term FROM toks WHERE len(t) >= {n}" for n in range(a.lo, a.hi + 1))
     g = [c.strip() for c in gid.split(",")]
     on = lambda a, b, more="": " AND ".join([f"{a}.{c} = {b}.{c}" for c in g] + ([more] if more else []))
     cols = lambda a: ", ".join(f"{a}.{c}" for c in g)
+    counted = "(1 + ln(a.tf))" if a.sublinear else "a.tf"
+    capped = f" QUALIFY row_number() OVER (PARTITION BY {gid} ORDER BY sum(tf) DESC, term) <= {a.cap}" if a.cap else ""
     return f"""toks AS (SELECT {gid}, item, {tokens} AS t FROM {items}),
 terms AS (SELECT {gid}, item, term, count(*) AS tf FROM ({runs}) GROUP BY ALL),
-dfs AS (SELECT {gid}, term, count(*) AS df FROM terms GROUP BY ALL),
+dfs AS (SELECT {gid}, term, count(*) AS df FROM terms GROUP BY {gid}, term{capped}),
 sizes AS (SELECT {gid}, count(*) AS n FROM {items} GROUP BY ALL),
-weights AS (SELECT {cols('a')}, a.item, a.term, a.tf * (ln((1 + s.n) / (1 + d.df)) + 1) AS w FROM terms a JOIN dfs d ON {on('a', 'd', 'a.term = d.term')} JOIN sizes s ON {on('a', 's')}),
+weights AS (SELECT {cols('a')}, a.item, a.term, {counted} * (ln((1 + s.n) / (1 + d.df)) + 1) AS w FROM terms a JOIN dfs d ON {on('a', 'd', 'a.term = d.term')} JOIN sizes s ON {on('a', 's')}),
 norms AS (SELECT {gid}, item, sqrt(sum(w * w)) AS norm FROM weights GROUP BY ALL),
 dots AS (SELECT {cols('a')}, a.item, sum(a.w * b.w) AS dot FROM weights a JOIN weights b ON {on('a', 'b', 'a.term = b.term AND a.item <> -1 AND b.item = -1')} GROUP BY ALL),
 scores AS (SELECT {cols('i')}, i.item, coalesce(round(d.dot / n.norm / q.norm, 6), 0) AS score FROM {items} i LEFT JOIN dots d ON {on('i', 'd', 'i.item = d.item')}
