@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import DEFAULT, Profile, ad_rule_score
-from .text import join_item, stop_filter, word_ngrams, word_tokens
+from .ranking import DEFAULT, Profile, ad_rule_score, model_score
+from .text import join_item
+from .tfidf import WORDS, Analyzer
 
 #: CountVectorizer wants a number; this one leaves no term out.
 ALL_TERMS = (1 << 31) - 1
@@ -21,51 +23,73 @@ ALL_TERMS = (1 << 31) - 1
 
 @dataclass(frozen=True)
 class AdModel:
-    pipeline: PipelineModel
-    lo: int
-    hi: int
-    stop: tuple[str, ...]
+    """A trained model, frozen: it can be saved, loaded, and put to use on a stream."""
 
+    count: CountVectorizerModel
+    rest: PipelineModel
+    a: Analyzer
 
-def _grams(df: DataFrame, lo: int, hi: int, stop: tuple[str, ...]) -> DataFrame:
-    tokens = word_tokens(F.coalesce("text", F.lit("")))
-    return df.withColumn("_tokens", stop_filter(tokens, stop) if stop else tokens).withColumn("_grams", word_ngrams(F.col("_tokens"), lo, hi)).drop("_tokens")
+    def save(self, path: str) -> None:
+        """Write the model below a folder that all executors share; one already there is replaced."""
+        self.count.write().overwrite().save(f"{path}/count")
+        self.rest.write().overwrite().save(f"{path}/rest")
+        SparkSession.active().createDataFrame([(json.dumps(asdict(self.a)),)], "analyzer string").coalesce(1).write.mode("overwrite").json(f"{path}/analyzer")
 
+    @staticmethod
+    def load(path: str) -> AdModel:
+        given = json.loads(SparkSession.active().read.schema("analyzer string").json(f"{path}/analyzer").first()[0])
+        return AdModel(CountVectorizerModel.load(f"{path}/count"), PipelineModel.load(f"{path}/rest"), Analyzer(**given | {"stop": tuple(given["stop"])}))
 
-def train_ad_model(labelled: DataFrame, lo: int = 1, hi: int = 2, stop: tuple[str, ...] = (), c: float = 1.0, max_features: int | None = None, iterations: int = 1000) -> AdModel:
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        """Add _tf, the counts of text's terms as they weigh."""
+        x = self.count.transform(rows.withColumn("_grams", self.a.terms(F.coalesce("text", F.lit("")))))
+        if not self.a.sublinear:
+            return x
+        return x.withColumn("_tf", array_to_vector(F.transform(vector_to_array("_tf"), lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))))
+
+
+def train_ad_model(labelled: DataFrame, a: Analyzer = WORDS, c: float = 1.0, iterations: int = 1000) -> AdModel:
     """Logistic regression with an L2 penalty and balanced classes on unit TF-IDF vectors of labelled rows
     (text, label 0 or 1; rows without a label are left out).  Both classes must occur."""
-    rows = _grams(labelled.filter("label is not null"), lo, hi, stop)
+    rows = labelled.filter("label is not null")
     counts = {r["label"]: r["count"] for r in rows.groupBy(F.col("label").cast("int").alias("label")).count().collect()}
     if set(counts) != {0, 1}:
         raise ValueError(f"both classes are needed, got {counts}")
     n = sum(counts.values())
     rows = rows.withColumn("label", F.col("label").cast("double")).withColumn("_weight", F.when(F.col("label") == 1, n / 2 / counts[1]).otherwise(n / 2 / counts[0]))
-    count = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features or ALL_TERMS, minDF=1).fit(rows)
-    tf = count.transform(rows)
+    grams = rows.withColumn("_grams", a.terms(F.coalesce("text", F.lit(""))))
+    count = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=a.cap or ALL_TERMS, minDF=1).fit(grams)
+    tf = AdModel(count, None, a).vectors(rows)
     idf = IDF(inputCol="_tf", outputCol="_x").fit(tf).idf.toArray() + 1
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_weighed")
     unit = Normalizer(p=2.0, inputCol="_weighed", outputCol="_unit")
     fit = LogisticRegression(featuresCol="_unit", labelCol="label", weightCol="_weight", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9)
-    return AdModel(Pipeline(stages=[count, scale, unit, fit]).fit(rows), lo, hi, stop)
+    return AdModel(count, Pipeline(stages=[scale, unit, fit]).fit(tf), a)
+
+
+def labelled_union(ads: DataFrame, normal: DataFrame) -> DataFrame:
+    """text, label of two corpora (text): advertising and not."""
+    return ads.select("text", F.lit(1).alias("label")).unionByName(normal.select("text", F.lit(0).alias("label")))
 
 
 def score_ads(rows: DataFrame, model: AdModel) -> DataFrame:
     """Add probability, that a row's text is advertising; terms not met in training count for nothing."""
-    scored = model.pipeline.transform(_grams(rows, model.lo, model.hi, model.stop))
+    scored = model.rest.transform(model.vectors(rows))
     return scored.select(*rows.columns, vector_to_array("_p")[1].alias("probability"))
 
 
-def ad_score(rows: DataFrame, model: AdModel, p: Profile = DEFAULT, sure: float = 0.5, likely: float = 0.35) -> DataFrame:
-    """Add probability, score and ad to rows (title, url, snippet): rules and links, urgency, and three points
-    of the model if sure, one if likely.  Four points make an advertisement; an empty text never is one."""
+def ad_score(rows: DataFrame, model: AdModel | None, p: Profile = DEFAULT) -> DataFrame:
+    """Add probability, score and ad to rows (title, url, snippet): the profile's points for words, the URL, urgency
+    and the model's probability; enough of them make an advertisement.  An empty text never is one.  Without a model
+    the rules alone decide and probability is null."""
     parts = ad_rule_score(F.col("title"), F.col("snippet"), F.col("url"), p)
-    x = score_ads(rows.withColumn("text", join_item(F.col("title"), F.col("snippet"))), model)
-    by_model = F.when(F.col("probability") > sure, 3).when(F.col("probability") > likely, 1).otherwise(0)
-    x = x.withColumn("score", F.when(F.col("text") == "", 0).otherwise(parts["rule"] + parts["link"] + parts["urgency"] + by_model))
-    return x.drop("text").withColumn("ad", F.col("score") >= 4)
+    x = rows.withColumn("text", join_item(F.col("title"), F.col("snippet")))
+    x = score_ads(x, model) if model else x.withColumn("probability", F.lit(None).cast("double"))
+    points = parts["rule"] + parts["link"] + parts["urgency"] + F.when(F.col("probability").isNull(), 0).otherwise(model_score(F.col("probability"), p))
+    x = x.withColumn("score", F.when(F.trim("text") == "", 0).otherwise(points))
+    return x.drop("text").withColumn("ad", F.col("score") >= p.ad_cut)
 
 
-def drop_ads(rows: DataFrame, model: AdModel, p: Profile = DEFAULT) -> DataFrame:
+def drop_ads(rows: DataFrame, model: AdModel | None, p: Profile = DEFAULT) -> DataFrame:
     """Rows that are no advertising; sources.bundles() keeps engines that lose all their rows."""
     return ad_score(rows, model, p).filter("not ad").select(rows.columns)

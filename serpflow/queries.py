@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import ads, dom, neardup, ranking, selectors, sources, text, tfidf
+from . import ads, dom, neardup, pipeline, ranking, selectors, sources, text, tfidf
 from .fixtures import CRAWL_SQL, QUERIES_SQL, RESULTS_SQL, SOURCES_SQL
 from .ranking import DEFAULT as P
 
@@ -139,6 +139,80 @@ def t12_copies(spark, sf_dir):
     return neardup.copies(fx.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text"))
 
 
+def walk_sql(rows: str) -> str:
+    """CTEs over a CTE of result rows, the last of them stays (query_id, engine, pos): the rows a walk over each query
+    leaves.  The walk's state is the next row and the list of rows gone."""
+    return f"""joined AS (SELECT query_id, engine, pos, concat_ws(' ', nullif(title, ''), nullif(snippet, '')) AS text FROM {rows}),
+ranked AS (SELECT query_id, engine, pos, text, length(text) AS len, row_number() OVER (PARTITION BY query_id ORDER BY engine, pos) AS k FROM joined),
+rtok AS (SELECT query_id, k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM ranked),
+rterm AS (SELECT query_id, k, term, count(*) AS tf FROM (SELECT query_id, k, unnest(t) AS term FROM rtok UNION ALL SELECT query_id, k, unnest(list_transform(range(1, CAST(len(t) AS BIGINT)), lambda i: t[i] || ' ' || t[i + 1])) FROM rtok WHERE len(t) >= 2) GROUP BY ALL),
+rdf AS (SELECT query_id, term, count(*) AS df FROM rterm GROUP BY ALL), rn AS (SELECT query_id, count(*) AS n FROM ranked GROUP BY ALL),
+rw AS (SELECT a.query_id, a.k, a.term, d.df, a.tf * (ln((1 + n.n) / (1 + d.df)) + 1) AS w FROM rterm a JOIN rdf d ON a.query_id = d.query_id AND a.term = d.term JOIN rn n ON a.query_id = n.query_id),
+ru AS (SELECT query_id, k, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id, k)) AS u FROM rw),
+close AS (SELECT a.query_id, a.k AS i, b.k AS j FROM ru a JOIN ru b ON a.query_id = b.query_id AND a.term = b.term AND a.k < b.k GROUP BY ALL HAVING sum(a.u * b.u) >= 0.85),
+near AS (SELECT r.query_id, r.k, r.len, list({{'j': c.j, 'len': s.len}}) FILTER (c.j IS NOT NULL) AS nb FROM ranked r LEFT JOIN close c ON c.query_id = r.query_id AND c.i = r.k LEFT JOIN ranked s ON s.query_id = r.query_id AND s.k = c.j GROUP BY ALL),
+live AS (SELECT * FROM near WHERE nb IS NOT NULL), turns AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS turn FROM live),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS gone FROM ranked
+  UNION ALL SELECT query_id, turn, CASE WHEN list_contains(gone, k) THEN gone WHEN stop IS NULL THEN list_concat(gone, list_transform(near, lambda x: x.j))
+    ELSE list_concat(list_append(gone, k), list_transform(list_filter(near, lambda x: x.j < stop), lambda x: x.j)) END
+  FROM (SELECT query_id, turn, gone, k, list_filter(rest, lambda x: x.len <= own) AS near, list_min(list_transform(list_filter(rest, lambda x: x.len > own), lambda x: x.j)) AS stop
+    FROM (SELECT t.query_id, t.turn, w.gone, t.k, t.len AS own, list_filter(t.nb, lambda x: NOT list_contains(w.gone, x.j)) AS rest FROM walk w JOIN turns t ON t.query_id = w.query_id AND t.turn = w.turn + 1))),
+ended AS (SELECT query_id, gone FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY turn DESC) = 1),
+stays AS (SELECT r.query_id, r.engine, r.pos FROM ranked r JOIN ended e ON e.query_id = r.query_id WHERE NOT list_contains(e.gone, r.k))"""
+
+
+def unique_items(spark, sf_dir) -> DataFrame:
+    return fx.results(spark, sf_dir).withColumn("item", F.col("pos")).withColumn("text", text.join_item(F.col("title"), F.col("snippet")))
+
+
+@query(f"WITH RECURSIVE {RESULTS_SQL}, {walk_sql('results')} SELECT r.query_id, r.engine, r.pos, r.title, r.url FROM results r JOIN stays s ON r.query_id = s.query_id AND r.pos = s.pos")
+def t13_j4_drop_near_duplicates(spark, sf_dir):
+    return neardup.drop_near_duplicates(unique_items(spark, sf_dir), ["engine", "pos"], ["query_id"]).select(*GID, "pos", "title", "url")
+
+
+_ADTEXT = "lower(concat_ws(' ', nullif(title, ''), nullif(snippet, '')))"
+_URGENT = "(" + " + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in P.urgency) + ")"
+_RULES_SQL = f"CASE WHEN {any_of(_ADTEXT, P.ad_words)} THEN 3 ELSE 0 END + CASE WHEN {any_of('lower(url)', P.ad_urls)} THEN 2 ELSE 0 END + CASE WHEN {_URGENT} >= 2 THEN 1 ELSE 0 END"
+
+
+def washed_sql(rows: str) -> str:
+    """CTEs over a CTE of result rows: noads (the rules alone), the walk's, and washed, ranked by the query."""
+    return f"""noads AS (SELECT * FROM {rows} WHERE {_RULES_SQL} < 4), {walk_sql('noads')},
+left_over AS (SELECT n.* FROM noads n JOIN stays s ON n.query_id = s.query_id AND n.engine = s.engine AND n.pos = s.pos),
+items AS (SELECT query_id, engine, pos AS item, concat_ws(' ', nullif(title, ''), nullif(snippet, '')) AS text FROM left_over
+  UNION ALL SELECT g.query_id, g.engine, -1, q.query FROM (SELECT DISTINCT query_id, engine FROM left_over) g JOIN queries q ON q.query_id = g.query_id), {tfidf.tfidf_sql('items', 'query_id, engine')},
+washed AS (SELECT l.*, s.score, CAST(row_number() OVER (PARTITION BY l.query_id, l.engine ORDER BY s.score DESC, l.pos) AS INT) AS rank FROM left_over l JOIN scores s ON s.query_id = l.query_id AND s.engine = l.engine AND s.item = l.pos)"""
+
+
+def washed(spark, sf_dir) -> pipeline.Washed:
+    """The fixture's rows washed by the rules alone: SQL can't train a model."""
+    r = fx.results(spark, sf_dir)
+    return pipeline.wash(r, r.select(*GID).distinct(), fx.queries(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {RESULTS_SQL}, {QUERIES_SQL}, {washed_sql('results')} SELECT query_id, engine, pos, title, url, snippet, score, rank FROM washed")
+def m2_wash(spark, sf_dir):
+    return washed(spark, sf_dir).rows
+
+
+@query(f"""WITH RECURSIVE {RESULTS_SQL}, {QUERIES_SQL}, {washed_sql('results')} SELECT q.query_id, (SELECT count(*) FROM noads n WHERE n.query_id = q.query_id) AS after_ads,
+  (SELECT count(*) FROM washed w WHERE w.query_id = q.query_id) AS kept, (SELECT count(*) FROM noads n WHERE n.query_id = q.query_id) - (SELECT count(*) FROM washed w WHERE w.query_id = q.query_id) AS removed FROM (SELECT DISTINCT query_id FROM results) q""")
+def g5_removed_by_dedup(spark, sf_dir):
+    return washed(spark, sf_dir).removed_by_query()
+
+
+@query(f"""WITH RECURSIVE {RESULTS_SQL}, {QUERIES_SQL}, {washed_sql('results')} SELECT r.query_id, r.engine, (SELECT count(*) FROM washed w WHERE w.query_id = r.query_id AND w.engine = r.engine) AS n,
+  coalesce((SELECT string_agg(w.url, '|' ORDER BY w.rank) FROM washed w WHERE w.query_id = r.query_id AND w.engine = r.engine), '') AS urls FROM (SELECT DISTINCT query_id, engine FROM results) r""")
+def m2_washed_bundles(spark, sf_dir):
+    b = washed(spark, sf_dir).bundles()
+    return b.select(*GID, F.size("results").cast("long").alias("n"), F.array_join(F.transform("results", lambda x: x["url"]), "|").alias("urls"))
+
+
+@query(f"WITH {SOURCES_SQL} SELECT CAST(row_number() OVER (ORDER BY coalesce(speed, 0) DESC, ord) - 1 AS INT) AS ord, name, url, speed FROM sources")
+def i1_by_speed(spark, sf_dir):
+    return sources.by_speed(fx.sources(spark, sf_dir))
+
+
 @query(f"WITH {ITEMS_SQL}, {tfidf.tfidf_sql('items', 'query_id, engine')} SELECT query_id, engine, term, df FROM dfs")
 def g7_document_frequency(spark, sf_dir):
     both = tfidf.with_queries(items_of(spark, sf_dir), per_group_queries(spark, sf_dir), GID)
@@ -195,10 +269,6 @@ def b7_post_filter(spark, sf_dir):
     return ranking.post_filter(fx.results(spark, sf_dir)).select(*GID, "pos", "title", "url")
 
 
-_ADTEXT = "lower(concat_ws(' ', nullif(title, ''), nullif(snippet, '')))"
-_URGENT = "(" + " + ".join(f"CAST(contains(lower(title), '{w}') AS INT)" for w in P.urgency) + ")"
-
-
 @query(f"WITH {RESULTS_SQL} SELECT query_id, engine, pos, {any_of(_ADTEXT, P.ad_words)} AS rule_hit, {any_of('lower(url)', P.ad_urls)} AS url_hit, {_URGENT} AS urgency_hits FROM results")
 def b8_b9_b10_ad_parts(spark, sf_dir):
     parts = ranking.ad_rule_score(F.col("title"), F.col("snippet"), F.col("url"))
@@ -348,7 +418,7 @@ def d6_html_unescape(spark, sf_dir):
 def ad_model(spark, sf_dir) -> ads.AdModel:
     """Learned from all labelled documents."""
     labels = fx.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return ads.train_ad_model(fx.read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), max_features=1000)
+    return ads.train_ad_model(fx.read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), tfidf.Analyzer(cap=1000))
 
 
 @query("")

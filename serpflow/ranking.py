@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import authority, clean_title, contains_any
+from .text import authority, clean_title, contains_any, resolve_redirect
+from .tfidf import Analyzer
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,13 @@ class Profile:
     blocked_hosts: tuple[str, ...] = ("site6.example.org",)
     redirect_ads: tuple[str, ...] = ("adclick",)
     page_title: str = r"^\s*(page\s*)?\d+\s*$"
+    #: A title that holds a licence number; None for no such rule.
+    licence: str | None = None
+    #: Host and script of redirect links that are taken apart; None for none.
+    redirect_host: str | None = None
+    redirect_path: str = "/link"
+    #: Rows whose selectors give no URL take any link of their container.
+    any_link: bool = False
     ad_labels: tuple[str, ...] = ("ad", "sponsored")
     ad_words: tuple[str, ...] = ("ad", "sale", "offer")
     ad_urls: tuple[str, ...] = ("site3", "promo", "adclick")
@@ -29,9 +37,31 @@ class Profile:
     middle: tuple[str, ...] = ("src4", "src5")
     tiers: tuple[float, float, float] = (0.02, 0.04, 0.08)
     least_group_max: float = 0.05
+    #: Points of the advertising score: a word, the URL, urgency, and by the model's probability, highest first.
+    rule_points: int = 3
+    link_points: int = 2
+    urgency_points: int = 1
+    model_points: tuple[tuple[float, int], ...] = ((0.5, 3), (0.35, 1))
+    ad_cut: int = 4
+    #: How candidates, results, advertisements, and then unique and ranked rows are weighed.
+    candidates: Analyzer = Analyzer()
+    relevance: Analyzer = Analyzer()
+    ads: Analyzer = Analyzer()
+    unique: Analyzer = Analyzer()
 
 
 DEFAULT = Profile()
+_STOP = ("the", "of", "and", "to", "in", "is", "for", "on", "with", "by")
+#: Texts whose words are separated, and texts of a script that writes words together.
+SPACED = replace(
+    DEFAULT, any_link=True, candidates=Analyzer("word", 1, 3, _STOP, 1000, True), relevance=Analyzer("word", 1, 2, _STOP, 800, True),
+    ads=Analyzer("word", 1, 3, _STOP, 1000, True), unique=Analyzer("word", 1, 2, _STOP),
+)
+UNSPACED = replace(
+    DEFAULT, ad_labels=(), licence=r"[a-z]{2}[a-z]?\d{6,}", redirect_host="go.example", tiers=(0.02, 0.02, 0.08), middle=(), rule_points=4, urgency_points=0, model_points=((0.6, 4),),
+    candidates=Analyzer("char", 2, 5, cap=1000, sublinear=True), relevance=Analyzer("char", 2, 4, cap=800, sublinear=True), ads=Analyzer("char", 2, 5, cap=800, sublinear=True),
+)
+PROFILES = {"spaced": SPACED, "unspaced": UNSPACED}
 
 
 def is_result_like(title: Column, url: Column, snippet: Column, score: Column, p: Profile = DEFAULT) -> Column:
@@ -45,6 +75,8 @@ def is_result_like(title: Column, url: Column, snippet: Column, score: Column, p
         | F.lower(title).rlike(p.page_title)
         | ((F.length(snippet) < 8) & (score < 0.1))
     )
+    if p.licence:
+        reject = reject | F.lower(title).rlike(p.licence)
     return ~F.coalesce(reject, F.lit(True))
 
 
@@ -63,8 +95,10 @@ def filter_then_best(rows: DataFrame, keep: Column) -> DataFrame:
 
 
 def post_filter(rows: DataFrame, p: Profile = DEFAULT) -> DataFrame:
-    """Clean titles again, first row per URL, then title length, fragment and script URLs, redirects, hosts."""
+    """Clean titles again, take redirects apart where the profile has them, first row per URL, then title length, fragment and script URLs, redirects, hosts."""
     t = rows.withColumn("title", clean_title(F.col("title"), p.ad_labels))
+    if p.redirect_host:
+        t = t.withColumn("url", resolve_redirect(F.col("url"), p.redirect_host, path=p.redirect_path))
     host = authority(F.col("url"))
     ok = (F.length("title") >= 3) & ~F.col("url").startswith("#") & ~F.col("url").startswith("javascript:") & ~contains_any(F.lower("url"), p.redirect_ads) & ~host.isin(*p.blocked_hosts)
     return first_then_filter(t, ok)
@@ -100,4 +134,15 @@ def ad_rule_score(title: Column, snippet: Column, url: Column, p: Profile = DEFA
     """Parts of the advertising score: words in the text, words in the URL, urgency in the title."""
     text = F.lower(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(snippet, F.lit(""))))
     urgency = sum((F.lower(title).contains(w).cast("int") for w in p.urgency), F.lit(0))
-    return {"rule": F.when(contains_any(text, p.ad_words), 3).otherwise(0), "link": F.when(contains_any(F.lower(url), p.ad_urls), 2).otherwise(0), "urgency": F.when(urgency >= 2, 1).otherwise(0), "urgency_hits": urgency}
+    return {
+        "rule": F.when(contains_any(text, p.ad_words), p.rule_points).otherwise(0), "link": F.when(contains_any(F.lower(url), p.ad_urls), p.link_points).otherwise(0),
+        "urgency": F.when(urgency >= 2, p.urgency_points).otherwise(0), "urgency_hits": urgency,
+    }
+
+
+def model_score(probability: Column, p: Profile = DEFAULT) -> Column:
+    """Points for a model's probability."""
+    points = F.lit(0)
+    for above, value in reversed(p.model_points):
+        points = F.when(probability > above, value).otherwise(points)
+    return points

@@ -38,12 +38,27 @@ def normalize_name(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return df.withColumn("name", F.coalesce(F.try_element_at(table, F.col("name")), F.col("name"))) if aliases else df
 
 
-def build_requests(queries: DataFrame, sources: DataFrame, templates: dict[str, str], skip: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, ord, name, request for every query and source.  The registry, a short list that is read on
-    the driver anyway, goes along as an array; the queries are never broadcast."""
-    rows = sources.select("ord", "name", "url").collect()
-    listed = F.array(*[F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["name"]).alias("name"), F.lit(r["url"]).alias("url"), F.lit(templates.get(r["name"])).cast("string").alias("template")) for r in rows])
-    x = queries.withColumn("q", percent_quote(F.col("query"))).select("query_id", "q", F.explode(listed).alias("s")).select("query_id", "q", "s.*")
+def by_speed(sources: DataFrame) -> DataFrame:
+    """The registry in order of falling speed, sources of equal speed as they were; ord is the new place.  A
+    registry is one document, and is sorted as one array."""
+    order = F.struct(-F.coalesce("speed", F.lit(0)), "ord", "name", "url", "speed")
+    one = sources.agg(F.sort_array(F.collect_list(order)).alias("all"))
+    return one.select(F.posexplode("all").alias("ord", "s")).select("ord", "s.name", "s.url", "s.speed")
+
+
+#: Sources that go to every task as they are; longer registries are joined in blocks of this size.
+SOURCE_BLOCK = 10_000
+
+
+def build_requests(queries: DataFrame, sources: DataFrame, templates: dict[str, str], skip: tuple[str, ...] = (), block: int = SOURCE_BLOCK) -> DataFrame:
+    """query_id, ord, name, request for every query and source.  A registry of at most one block, by its count,
+    is broadcast; of a longer one each block meets the queries in a join on the block's number."""
+    given = F.create_map(*[F.lit(x) for kv in templates.items() for x in kv]) if templates else None
+    rows = sources.select("ord", "name", "url").withColumn("template", F.try_element_at(given, F.col("name")) if templates else F.lit(None).cast("string"))
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("name", "ord"), F.lit(blocks)).cast("int"))
+    x = queries.select("query_id", percent_quote(F.col("query")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    x = x.join(F.broadcast(rows) if blocks == 1 else rows, "_block")
     put = lambda c: F.replace(c, F.lit("{query}"), F.col("q"))
     url = F.when(F.col("name").isin(*skip), F.lit(None)) if skip else F.when(F.lit(False), F.lit(None).cast("string"))
     url = url.when(F.col("url").contains("{query}"), put(F.col("url"))).when(F.col("template").isNotNull(), put(F.col("template"))).otherwise(F.concat(F.rtrim(F.col("url"), F.lit("/")), F.lit("/search?q="), F.col("q")))

@@ -76,23 +76,36 @@ def join_item(title: Column, snippet: Column) -> Column:
     return F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(snippet, F.lit("")))
 
 
-def resolve_redirect(url: Column, host: str, param: str = "url") -> Column:
-    """The target inside a redirect link: hex or base64 of a URL in a parameter; other URLs as they are."""
+def resolve_redirect(url: Column, host: str, param: str = "url", path: str = "") -> Column:
+    """The target inside a redirect link of a host's script: hex, else base64, of a text with a URL in a parameter.
+    Other URLs, and parameters that hold none, stay as they are."""
     given = F.regexp_extract(url, r"[?&]" + param + "=([^&#]*)", 1)
-    find = lambda b: F.nullif(F.regexp_extract(F.decode(b, "UTF-8"), r"(https?://[^\x00-\x20]+)", 1), F.lit(""))
-    hexed = F.when(given.rlike("^([0-9a-fA-F]{2})+$"), find(F.unhex(given)))
-    based = F.when(given.rlike("^[A-Za-z0-9+/]+=*$"), find(F.try_to_binary(F.rpad(given, F.ceil(F.length(given) / 4).cast("int") * 4, F.lit("=")), F.lit("base64"))))
-    return F.when(authority(url).contains(host) & (given != ""), F.coalesce(F.rtrim(hexed, F.lit(")")), F.rtrim(based, F.lit(")")), url)).otherwise(url)
+    raw = F.coalesce(F.try_url_decode(given), given)
+    # a target ends at white space, quotes and angle brackets
+    find = lambda b: F.nullif(F.regexp_extract(F.decode(b, "UTF-8"), r"(https?://[^\s\"'<>\x00-\x20]+)", 1), F.lit(""))
+    hexed = F.when(raw.rlike("^([0-9a-fA-F]{2})+$"), find(F.unhex(raw)))
+    based = F.when(raw.rlike("^[A-Za-z0-9+/]+=*$"), find(F.try_to_binary(F.rpad(F.rtrim(raw, F.lit("=")), F.ceil(F.length(F.rtrim(raw, F.lit("="))) / 4).cast("int") * 4, F.lit("=")), F.lit("base64"))))
+    here = url.contains(host) & F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).contains(path)
+    return F.when(here & (given != ""), F.coalesce(F.rtrim(hexed, F.lit(")")), F.rtrim(based, F.lit(")")), url)).otherwise(url)
+
+
+# Fixed values: signs between the steps of a breadcrumb, and what a step may hold besides letters,
+# digits and white space; the last letters of a domain glued to a URL are lower-case ones.
+CRUMB_SIGNS = "›»>"
+CRUMB_MARKS = "_-.#@&?=%!+"
+LABEL_ENDS = ":：-—–"
 
 
 def clean_title(c: Column, ad_labels: tuple[str, ...] = ()) -> Column:
-    """Strip an advertising label, a domain glued before a URL, and trailing breadcrumbs; a title that is then
-    a URL becomes its host, and one that would be empty stays."""
-    t = c
+    """Decode character references, strip an advertising label, a domain glued before a URL, and trailing
+    breadcrumbs; a title that is then a URL becomes its host, and one that would be empty stays."""
+    one_of = lambda signs: "[" + "".join("\\" + x for x in signs) + "]"
+    t = html_unescape(c)
     if ad_labels:
-        t = F.regexp_replace(t, r"(?iU)^\s*(?:" + "|".join(ad_labels) + r")\s*[:：]\s*", "")
-    s = F.regexp_replace(t, r"(?U)^[\w.-]+\.[A-Za-z]{2,}(?=https?://)", "")
-    s = F.trim(F.regexp_replace(s, r"(?U)\s*+(?:[›»>][\w\s\-.#@&?=%!+]++)+$", ""))
+        t = F.regexp_replace(t, r"(?iU)^\s*(?:" + "|".join(ad_labels) + r")\s*" + one_of(LABEL_ENDS) + r"\s*", "")
+    s = F.regexp_replace(t, r"(?U)^[\w.-]+\.[a-z]{2,}(?=https?://)", "")
+    step = r"(?:[\w\s]|" + one_of(CRUMB_MARKS) + ")++"
+    s = F.trim(F.regexp_replace(s, r"(?U)\s*+(?:" + one_of(CRUMB_SIGNS) + step + ")++$", ""))
     return F.when(c.isNull() | (c == ""), c).when(s != "", F.when(s.startswith("http") & (authority(s) != ""), authority(s)).otherwise(s)).otherwise(F.trim(t))
 
 
