@@ -523,7 +523,7 @@ def asked(spark, sf_dir, pages: DataFrame) -> DataFrame:
 @query("""SELECT page_id, i AS n, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(x) AS a, generate_subscripts(x, 1) AS i
   FROM (SELECT page_id, regexp_extract_all(replace(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '&amp;', '&'), '<a href="[^"]*"') AS x FROM pages))""")
 def c7_css_select(spark, sf_dir):
-    n = selectors.css_select(dom.explode_dom(fx.read(spark, sf_dir, "pages"), (), ()), "nav > ul a[href], nav a")
+    n = dom.css_select(fx.read(spark, sf_dir, "pages"), "nav > ul a[href], nav a")
     return _in_order(n, "pre").select("page_id", "n", F.col("attrs")["href"].alias("href"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from html.entities import html5
 
@@ -9,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once and standing once in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """Runs of white space, as Unicode has it, become one space; the ends are trimmed."""
     return F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
@@ -100,13 +106,16 @@ def clean_title(c: Column, ad_labels: tuple[str, ...] = ()) -> Column:
     """Decode character references, strip an advertising label, a domain glued before a URL, and trailing
     breadcrumbs; a title that is then a URL becomes its host, and one that would be empty stays."""
     one_of = lambda signs: "[" + "".join("\\" + x for x in signs) + "]"
-    t = html_unescape(c)
-    if ad_labels:
-        t = F.regexp_replace(t, r"(?iU)^\s*(?:" + "|".join(ad_labels) + r")\s*" + one_of(LABEL_ENDS) + r"\s*", "")
-    s = F.regexp_replace(t, r"(?U)^[\w.-]+\.[a-z]{2,}(?=https?://)", "")
+    label = r"(?iU)^\s*(?:" + "|".join(ad_labels) + r")\s*" + one_of(LABEL_ENDS) + r"\s*"
     step = r"(?:[\w\s]|" + one_of(CRUMB_MARKS) + ")++"
-    s = F.trim(F.regexp_replace(s, r"(?U)\s*+(?:" + one_of(CRUMB_SIGNS) + step + ")++$", ""))
-    return F.when(c.isNull() | (c == ""), c).when(s != "", F.when(s.startswith("http") & (authority(s) != ""), authority(s)).otherwise(s)).otherwise(F.trim(t))
+    crumbs = r"(?U)\s*+(?:" + one_of(CRUMB_SIGNS) + step + ")++$"
+
+    def stripped(t: Column) -> Column:
+        s = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)^[\w.-]+\.[a-z]{2,}(?=https?://)", ""), crumbs, ""))
+        return let(s, lambda s: F.when(s == "", F.trim(t)).when(s.startswith("http"), F.coalesce(F.nullif(authority(s), F.lit("")), s)).otherwise(s))
+
+    decoded = html_unescape(c)
+    return F.when(c.isNull() | (c == ""), c).otherwise(let(F.regexp_replace(decoded, label, "") if ad_labels else decoded, stripped))
 
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -115,25 +124,33 @@ _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))
 def resolve_url(href: Column, base: Column) -> Column:
     """A reference resolved against a page's URL; an empty reference stays empty, one that names a host or
     another scheme stays as it is."""
-    part = lambda c, i: F.regexp_extract(c, r"(?s)" + _PARTS, i)
-    scheme, host, path, query, fragment = (part(href, i) for i in range(1, 6))
-    base_scheme, base_host, base_path = part(base, 1), part(base, 2), part(base, 3)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
-    whole = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/"))
-    steps = F.split(F.substring(whole, 2, 1 << 30), "/", -1)
+    names = ("scheme", "host", "path", "query", "fragment")
+    parts = lambda c: F.struct(*[F.regexp_extract(c, r"(?s)" + _PARTS, i + 1).alias(n) for i, n in enumerate(names)])
     none = F.array().cast("array<string>")
     climb = lambda done, s: F.when(s == "..", F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
-    walked = F.aggregate(steps, none, climb)
-    walked = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    new_path = F.when(path == "", base_path).otherwise(F.concat(F.lit("/"), F.array_join(walked, "/")))
-    new_query = F.when((path == "") & (query == ""), part(base, 4)).otherwise(query)
-    tail = F.concat(F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+
+    def walked(whole: Column) -> Column:
+        """A path from the root without steps up or in place."""
+        def join(steps: Column) -> Column:
+            done = F.aggregate(steps, none, climb)
+            return F.concat(F.lit("/"), F.array_join(F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done), "/"))
+
+        return let(F.split(F.substring(whole, 2, 1 << 30), "/", -1), join)
+
+    def joined(x: Column) -> Column:
+        r, b = x["r"], x["b"]
+        folder = F.when(b["path"] == "", F.lit("/")).otherwise(F.regexp_replace(b["path"], "[^/]*$", ""))
+        whole = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.regexp_replace(F.concat(folder, r["path"]), "/{2,}", "/"))
+        new_path = F.when(r["path"] == "", b["path"]).otherwise(walked(whole))
+        new_query = F.when((r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        tail = F.concat(let(new_query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")), F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(""))
+        return F.when((r["scheme"] != "") & ((F.lower(r["scheme"]) != F.lower(b["scheme"])) | (r["host"] != "")), href).otherwise(F.concat(b["scheme"], F.lit("://"), b["host"], new_path, tail))
+
     given = F.coalesce(href, F.lit(""))
     return (
         F.when((given == "") | base.isNull() | (base == ""), given)
-        .when((scheme != "") & ((F.lower(scheme) != F.lower(base_scheme)) | (host != "")), given)
-        .when(given.startswith("//"), F.concat(base_scheme, F.lit(":"), given))
-        .otherwise(F.concat(base_scheme, F.lit("://"), base_host, new_path, tail))
+        .when(given.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)" + _PARTS, 1), F.lit(":"), given))
+        .otherwise(let(F.struct(parts(href).alias("r"), parts(base).alias("b")), joined))
     )
 
 
@@ -152,9 +169,8 @@ def _numbered() -> dict[int, str]:
 
 def html_unescape(c: Column) -> Column:
     """Character references of HTML decoded: named ones, also old ones without a semicolon, and numeric ones."""
-    # a map of literals, which the optimizer folds into one constant
-    escaped = lambda v: "".join(f"\\U{ord(x):08x}" for x in v)
-    table = lambda d: F.expr("map(" + ", ".join(f"'{k}', '{escaped(v)}'" for k, v in d.items()) + ")")
+    # one literal, which the optimizer folds into a constant map: thousands of literals would slow every rule down
+    table = lambda d: F.from_json(F.lit(json.dumps({str(k): v for k, v in d.items()})), "map<string,string>")
     ended, open_ended = (table({k: v for k, v in html5.items() if k.endswith(";") == e}) for e in (True, False))
     numbered = table(_numbered())
     pieces = F.regexp_extract_all(c, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"), F.lit(0))
