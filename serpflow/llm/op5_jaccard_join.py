@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import components, drop_table, table
 
 #: Counters of the sketch; the estimate of a shingle is the count of all shingles that share its counter.
 SKETCH = 1 << 19
@@ -204,7 +204,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     posts = head.select(F.posexplode("head").alias("at", "token"), "cls", "n")
     lists = posts.groupBy("token").agg(F.min(F.struct("cls", "n", "at")).alias("pivot"), F.max("cls").alias("last")).filter("pivot.cls < last").select("token", F.col("pivot.cls").alias("pc"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
     shared = table(posts.join(lists, "token"), "shared")
-    stars = shared.filter(F.col("cls") != F.col("pc")).filter(near("n", "pn") & within("n", "at", "pn", "pat")).select(F.col("pc").alias("a"), F.col("cls").alias("b")).distinct()
+    to_pivot = near("n", "pn") & within("n", "at", "pn", "pat")
+    stars = shared.filter(F.col("cls") != F.col("pc")).filter(to_pivot).select(F.col("pc").alias("a"), F.col("cls").alias("b")).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs (a, b), those whose sets reach the threshold."""
@@ -213,11 +214,15 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
             return table(p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct(), name + "_classes")
 
         pairs = table(pairs, name + "_pairs")
-        pre = head.join(classes(pairs), "cls", "left_semi").groupBy("cls").agg(F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
+        wanted = classes(pairs)
+        pre = head.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
         pre = table(pre, name + "_prefixes")
         x = pairs.join(pre.toDF("a", "need_a", "p_a"), "a").join(pre.toDF("b", "need_b", "p_b"), "b")
         x = table(x.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.least("need_a", "need_b")).select("a", "b"), name + "_candidates")
-        full = table(sets_of(docs, k, classes(x)), name + "_sets")
+        for read_out in (pairs, wanted, pre):
+            drop_table(read_out)
+        wanted = classes(x)
+        full = table(sets_of(docs, k, wanted), name + "_sets")
 
         def check(batches):
             for batch in batches:
@@ -230,12 +235,26 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         y = x.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return table(y.mapInArrow(check, "a long, b long"), name)
-
-    links = verified(stars, "stars")
+        out = table(y.mapInArrow(check, "a long, b long"), name)
+        for read_out in (x, wanted, full):
+            drop_table(read_out)
+        return out
+
+    def placed(rows: DataFrame, comps: DataFrame, key: str, name: str) -> DataFrame:
+        """Rows with the component of a class, which is the class itself where nothing links it."""
+        return rows.join(comps.toDF(key, name), key, "left").withColumn(name, F.coalesce(name, key))
+
+    # first round: each class with the one pivot it shares most with, which joins most of a group of near copies
+    most = shared.filter(F.col("cls") != F.col("pc")).filter(to_pivot).groupBy("cls", "pc").agg(F.count("*").alias("c"))
+    most = most.groupBy("cls").agg(F.max_by("pc", F.struct("c", -F.col("pc"))).alias("a")).select("a", F.col("cls").alias("b"))
+    links = verified(most, "firsts")
+    comps = components(links, "first_components")
+    # second round: the other pivots of classes that are still apart from them
+    apart = placed(shared, comps, "cls", "component").join(placed(lists.select("token", "pc"), comps, "pc", "other").drop("pc"), "token")
+    apart = apart.filter(F.col("component") != F.col("other")).filter(to_pivot).select(F.col("pc").alias("a"), F.col("cls").alias("b")).distinct()
+    links = links.union(verified(apart, "stars"))
     comps = components(links, "star_components")
-    at = shared.select("token", "cls", "n", "at").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    at = table(at, "placed")
+    at = table(placed(shared.select("token", "cls", "n", "at"), comps, "cls", "component"), "placed")
     # lists of two are settled by their pivot; so are those of one component
     open_ = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("token")
     # a task gave each class once, so a list may hold it as often as there were tasks
