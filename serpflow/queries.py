@@ -298,20 +298,28 @@ def d1_clean_text(spark, sf_dir):
     return fx.read(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
 
 
-@query(f"WITH {RESULTS_SQL} SELECT pos, url AS target FROM results")
+@query(f"WITH {RESULTS_SQL} SELECT pos, CASE WHEN pos % 4 = 3 THEN 'https://go.example/other?url=' || lower(hex(url)) ELSE url END AS target FROM results")
 def d3_resolve_redirect(spark, sf_dir):
-    """Wraps every url as a redirect, in hex or base64 by turns, and takes it out again."""
+    """Wraps every url as a redirect, in hex with a quote behind it or base64 by turns, and takes it out again; another
+    script of the same host redirects nothing."""
     r = fx.results(spark, sf_dir)
-    packed = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://go.example/r?url="), F.lower(F.hex(F.encode("url", "UTF-8"))))).when(F.col("pos") % 3 == 1, F.concat(F.lit("https://go.example/r?a=1&url="), F.rtrim(F.base64(F.encode("url", "UTF-8")), F.lit("=")))).otherwise(F.col("url"))
-    return r.select("pos", text.resolve_redirect(packed, "go.example").alias("target"))
+    k, hexed = F.col("pos") % 4, lambda c: F.lower(F.hex(F.encode(c, "UTF-8")))
+    packed = F.when(k == 0, F.concat(F.lit("https://go.example/r?url="), hexed(F.concat("url", F.lit("\"x"))))).when(k == 1, F.concat(F.lit("https://go.example/r?a=1&url="), F.rtrim(F.base64(F.encode("url", "UTF-8")), F.lit("=")))).when(k == 3, F.concat(F.lit("https://go.example/other?url="), hexed(F.col("url")))).otherwise(F.col("url"))
+    return r.select("pos", text.resolve_redirect(packed, "go.example", path="/r").alias("target"))
 
 
-@query(f"WITH {RESULTS_SQL} SELECT pos, CASE WHEN pos % 4 = 0 THEN regexp_extract(url, '//([^/]*)', 1) ELSE title END AS title FROM results WHERE regexp_matches(title, '^[^›»>]*$') AND title <> ''")
+#: RE2 has no possessive runs; greedy ones give the same here.
+_CRUMBS_SQL = "trim(regexp_replace({}, '\\s*([›»>][\\p{{L}}\\p{{N}}_\\s\\-.#@&?=%!+]+)+$', ''))"
+
+
+@query(f"""WITH {RESULTS_SQL}, t AS (SELECT pos, url, title, {_CRUMBS_SQL.format('title')} AS plain FROM results)
+SELECT pos, CASE WHEN pos % 4 = 0 THEN regexp_extract(url, '//([^/]*)', 1) WHEN title = '' THEN CASE pos % 4 WHEN 1 THEN '' WHEN 2 THEN '› docs › page 1' ELSE '' END WHEN plain <> '' THEN plain ELSE trim(title) END AS title FROM t""")
 def d4_d5_clean_title(spark, sf_dir):
-    """Puts labels, glued domains and breadcrumbs around titles and takes them off again."""
-    r = fx.results(spark, sf_dir).filter("title rlike '^[^›»>]*$' and title <> ''")
+    """Puts labels, glued domains, breadcrumbs and character references around and into titles and takes them off again."""
+    r = fx.results(spark, sf_dir)
     k = F.col("pos") % 4
-    dressed = F.when(k == 0, F.concat(F.lit("shop.example"), "url")).when(k == 1, F.concat(F.lit("Sponsored: "), "title")).when(k == 2, F.concat("title", F.lit(" › docs › page 1"))).otherwise(F.col("title"))
+    escaped = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;")), F.lit("»"), F.lit("&raquo;"))
+    dressed = F.when(k == 0, F.concat(F.lit("shop.example"), "url")).when(k == 1, F.concat(F.lit("Sponsored: "), escaped)).when(k == 2, F.concat(escaped, F.lit(" &rsaquo; docs › page 1"))).otherwise(escaped)
     return r.select("pos", text.clean_title(dressed, P.ad_labels).alias("title"))
 
 
@@ -557,6 +565,32 @@ def m1_extract(spark, sf_dir):
     return selectors.extract(pages, asked(spark, sf_dir, pages), {f"src{i}": STRATEGY for i in range(0, 20, 2)}).select(*GID, "url", "title", "snippet")
 
 
+_NUMBER = "CAST(regexp_extract(engine, '[0-9]+') AS INT)"
+_M1 = """SELECT query_id, engine, s.pos AS pos, url, CASE WHEN length(p.snippet) > length(s.snippet) THEN p.title ELSE s.title END AS title, CASE WHEN length(p.snippet) > length(s.snippet) THEN p.snippet ELSE s.snippet END AS snippet
+  FROM sel s LEFT JOIN (SELECT page_id, url, title, snippet FROM pat) p USING (page_id, url)"""
+
+
+def registry_of(spark, sf_dir) -> DataFrame:
+    """ord, name, url, speed: the engines of the rows, each with a speed by its number."""
+    number = F.regexp_extract("engine", "[0-9]+", 0).cast("int")
+    return fx.results(spark, sf_dir).select("engine").distinct().select(number.alias("ord"), F.col("engine").alias("name"), F.concat(F.lit("https://"), "engine", F.lit(".example")).alias("url"), (number % 10).alias("speed"))
+
+
+def fetched(spark, sf_dir) -> DataFrame:
+    """The result pages as crawl records, a fifth of them failed."""
+    late = F.col("page_id") % 5 == 0
+    return serp(spark, sf_dir, TAIL).withColumn("status", F.when(late, "timeout").otherwise("success")).withColumn("error", F.when(late, "too slow").otherwise(""))
+
+
+@query(f"""WITH RECURSIVE {RESULTS_SQL}, {QUERIES_SQL}, m1 AS (WITH {_PAGED}, {_SEL}, {_PAT} SELECT * FROM ({_M1} WHERE page_id % 5 <> 0 AND {_NUMBER} % 10 >= 5) x
+  WHERE length(title) >= 3 AND NOT {any_of('lower(url)', P.redirect_ads)} AND regexp_extract(url, '//([^/]*)', 1) NOT IN {in_(P.blocked_hosts)}), {washed_sql('m1')}
+SELECT query_id, engine, url, title, snippet, score, rank FROM washed""")
+def m3_run(spark, sf_dir):
+    """From a registry to washed rows: sources of speed 5 or more, pages that were fetched, both routes, the rules."""
+    strategies = {f"src{i}": STRATEGY for i in range(0, 20, 2)}
+    return pipeline.run(registry_of(spark, sf_dir), fx.queries(spark, sf_dir), fetched(spark, sf_dir), strategies).washed.rows.select(*GID, "url", "title", "snippet", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

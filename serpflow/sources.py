@@ -108,9 +108,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     out.write.option("header", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)
 
 
+STREAMED = CRAWL + ", page_id long, query_id long, fetched_at timestamp"
+
+
 def stream_crawl(spark: SparkSession, path: str) -> DataFrame:
     """Crawl records, with the time they were fetched, as a stream of JSON files."""
-    return spark.readStream.schema(CRAWL + ", query_id long, fetched_at timestamp").json(path)
+    return spark.readStream.schema(STREAMED).json(path)
 
 
 def status_per_window(crawl: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:

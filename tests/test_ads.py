@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from serpflow import ads, text
+from serpflow.ranking import SPACED, UNSPACED
+from serpflow.tfidf import Analyzer
 
 ROWS = [("buy cheap shoes now", 1), ("cheap offer buy today", 1), ("sale of shoes", 1), ("history of tea", 0), ("tea leaves and water", 0), ("how water is kept", 0), ("the history of shoes", 0)]
 
@@ -27,7 +29,7 @@ def _weights():
 
 
 def test_same_probabilities_as_a_plain_solver(spark):
-    model = ads.train_ad_model(spark.createDataFrame([*ROWS, ("no label", None)], "text string, label int"), 1, 1)
+    model = ads.train_ad_model(spark.createDataFrame([*ROWS, ("no label", None)], "text string, label int"), Analyzer(hi=1))
     asked = ["buy tea now", "history", "words never met", "", None, "cheap cheap shoes"]
     want = _weights()
     for r in ads.score_ads(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect():
@@ -41,3 +43,22 @@ def test_entities_like_the_standard_library(spark):
     texts = ["a &amp;&lt;b&gt; &quot;", "&notit; &not &notin; &copyx &amp", "&#65;&#x42;&#X43 &#0; &#x80;&#129;&#xD800;&#x110000;&#99999999999;", "&#x1F600; &#20013; &#xFFFE;|&#11;|&#13;", "& && &; &# &#; &#x; &#xg", "&CounterClockwiseContourIntegral; &acE; &unknown; &frac12 &frac12x", "", "plain", "&#128;&#150;&#00065;", None]
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.html_unescape(F.col("t")).alias("u")).collect():
         assert r["u"] == (None if r["t"] is None else html.unescape(r["t"])), r
+
+
+def test_profiles_weigh_parts_their_own_way(spark):
+    rows = spark.createDataFrame([("now sale", "https://x.example", "tea"), ("now here sale", "https://x.example", ""), ("tea", "https://promo.example", "")], "title string, url string, snippet string")
+    points = {name: [(r["score"], r["ad"]) for r in ads.ad_score(rows, None, p).collect()] for name, p in (("spaced", SPACED), ("unspaced", UNSPACED))}
+    assert points == {"spaced": [(3, False), (4, True), (2, False)], "unspaced": [(4, True), (4, True), (2, False)]}
+    probability = spark.createDataFrame([(0.3,), (0.4,), (0.55,), (0.7,)], "q double")
+    assert [[r[0] for r in probability.select(ads.model_score(F.col("q"), p)).collect()] for p in (SPACED, UNSPACED)] == [[0, 1, 3, 3], [0, 0, 0, 4]]
+
+
+def test_saved_model_scores_the_same(spark, tmp_path):
+    pairs = ads.labelled_union(*(spark.createDataFrame([(t,) for t, y in ROWS if y == k], "text string") for k in (1, 0)))
+    for a in (Analyzer("char", 2, 3, cap=50, sublinear=True), Analyzer(stop=("of", "the"), cap=20)):
+        model = ads.train_ad_model(pairs, a)
+        model.save(str(tmp_path / a.kind))
+        again = ads.AdModel.load(str(tmp_path / a.kind))
+        rows = spark.createDataFrame([(t,) for t, _ in ROWS] + [("",), (None,)], "text string")
+        got = [[r["probability"] for r in ads.score_ads(rows, m).collect()] for m in (model, again)]
+        assert got[0] == got[1] and again.a == a and sum((p > 0.5) == bool(y) for p, (_, y) in zip(got[0], ROWS)) >= 6
