@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serpflow.store import drop_table, shared_dir, table  # noqa: F401 - the operators take them from here
+
 #: A word, wherever an operator counts words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -29,33 +29,6 @@ def fold_of(doc_id: Column, k: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % k, F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) one below the warehouse."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    return given.rstrip("/") if given else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder once, read back.
-
-    Unlike checkpoint() this runs the plan a single time, and a lost executor costs no recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._serpflow_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove a table() that no later plan reads."""
-    path = getattr(df, "_serpflow_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

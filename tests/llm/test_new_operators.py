@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -159,3 +160,35 @@ def test_toxicity_of_odd_rows(spark):
     assert len(got) == len(rows) + len(odd)
     verdict = {r["doc_id"]: r["predicted"] for r in got if r["doc_id"] != 1}
     assert [verdict[k] for k in (901, 902, 903, None)] == [1, 0, 0, 1] and all(verdict[i] == int(i % 4 == 0) for i, _ in rows if i != 1)
+
+
+def plain_toxicity(text, lexicon):
+    """The score by looking every word up, without an automaton; for a lexicon without exception phrases."""
+    folded, said = op3_toxicity.fold(text or ""), {}
+    word = ""
+    for c in folded + " ":
+        if c.isalnum():
+            word += c
+            continue
+        best = max(((lexicon.weights[e], -len(e.rstrip("*")), e.rstrip("*")) for e in [word, *(word[:k] + "*" for k in range(1, len(word) + 1))] if e in lexicon.weights), default=None)
+        if best:
+            said[best[2]] = best[0]
+        word = ""
+    w = sum(said.values())
+    x = [1.0, len(said) > 0, len(said) > 1, np.log1p(w), np.log1p(w * 600 / (len(folded) + 100)) if folded else 0.0]
+    return 1 / (1 + np.exp(-np.dot(x, lexicon.curve)))
+
+
+def test_toxicity_stage_drops_what_a_plain_matcher_finds(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = spark.createDataFrame([(5_000_001, None, "x"), (5_000_002, "", "x"), (5_000_003, "scum " * 100_000 + "trash", "x"), (5_000_003, "scum " * 100_000 + "trash", "x"), (None, "SCUM, tr@sh", None)], "doc_id long, text string, source string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    lexicon = op3_toxicity.learn(op3_toxicity.train_rows(docs), labels)
+    assert lexicon.weights and not lexicon.exceptions
+    got = corpus_pipeline.toxicity(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept = sorted(map(str, got.select("doc_id", "text").collect()))
+    want = sorted(str(r) for r in docs.select("doc_id", "text").collect() if plain_toxicity(r["text"], lexicon) < 0.7)
+    assert kept == want and 0 < len(want) < docs.count()
+    assert not any(r["doc_id"] in (5_000_003, None) for r in got.collect())
