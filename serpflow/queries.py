@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from . import ads, dom, neardup, pipeline, ranking, selectors, sources, text, tfidf
+from . import ads, dom, neardup, pipeline, ranking, selectors, sources, store, text, tfidf
 from .fixtures import CRAWL_SQL, QUERIES_SQL, RESULTS_SQL, SOURCES_SQL
 from .ranking import DEFAULT as P
 
@@ -368,6 +369,30 @@ def b16_clean_queries(spark, sf_dir):
     return sources.clean_queries(q)
 
 
+def _written(spark, write) -> str:
+    """A new folder of the store with what write(path) puts there."""
+    path = f"{store.shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+@query(f"WITH {CRAWL_SQL} SELECT engine, url, query, html, status, error FROM crawl")
+def a2_read_crawl(spark, sf_dir):
+    """Crawl records written as a fetcher leaves them, and read."""
+    return sources.read_crawl(spark, _written(spark, lambda path: fx.crawl(spark, sf_dir).drop("page_id").write.json(path)))
+
+
+@query(f"WITH {RESULTS_SQL} SELECT query_id, engine, CAST(row_number() OVER (PARTITION BY query_id, engine ORDER BY pos) AS VARCHAR) AS index, title, url, snippet FROM results")
+def a4_write_csv(spark, sf_dir):
+    """Rows written as CSV, and read with the options a spreadsheet program goes by."""
+    path = _written(spark, lambda path: sources.write_csv(fx.results(spark, sf_dir), path))
+    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path).toDF("engine", "index", "title", "url", "snippet")
+    # the file has no query; the given rows tell it by their URL's number and engine
+    pos = fx.results(spark, sf_dir)
+    numbered = sources.numbered(pos, ["pos"]).select("query_id", "engine", F.col("index").cast("string").alias("index"), "url")
+    return back.join(numbered, ["engine", "index", "url"]).select("query_id", "engine", "index", F.coalesce("title", F.lit("")).alias("title"), "url", F.coalesce("snippet", F.lit("")).alias("snippet"))
+
+
 @query("SELECT event_id, 'results_' || strftime(ts, '%Y%m%d_%H%M%S') AS name FROM events")
 def a5_export_name(spark, sf_dir):
     return fx.read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("results_"), F.date_format("ts", "yyyyMMdd_HHmmss")).alias("name"))
@@ -389,17 +414,17 @@ def g3_searchable(spark, sf_dir):
     return r.groupBy("query_id").agg(F.count_if(F.col("request").isNotNull()).alias("searchable"), F.count_if(F.col("request").isNull()).alias("skipped"))
 
 
-@query(f"WITH {RESULTS_SQL}, kept AS (SELECT * FROM results WHERE pos % 3 <> 0), e AS (SELECT DISTINCT query_id, engine FROM results) SELECT query_id, count(DISTINCT engine) AS total_engines, (SELECT count(*) FROM kept k WHERE k.query_id = e.query_id) AS total_results FROM e GROUP BY query_id")
+@query(f"WITH {RESULTS_SQL}, kept AS (SELECT * FROM results WHERE engine NOT IN {in_(P.middle)}), e AS (SELECT DISTINCT query_id, engine FROM results) SELECT query_id, count(DISTINCT engine) AS total_engines, (SELECT count(*) FROM kept k WHERE k.query_id = e.query_id) AS total_results FROM e GROUP BY query_id")
 def g4_a3_totals(spark, sf_dir):
     r = fx.results(spark, sf_dir)
-    b = sources.bundles(r.filter("pos % 3 <> 0"), r.select(*GID).distinct())
+    b = sources.bundles(r.filter(~F.col("engine").isin(*P.middle)), r.select(*GID).distinct())
     return b.groupBy("query_id").agg(F.count("*").alias("total_engines"), F.sum(F.size("results")).cast("long").alias("total_results"))
 
 
-@query(f"WITH {RESULTS_SQL}, kept AS (SELECT * FROM results WHERE pos % 3 <> 0), e AS (SELECT DISTINCT query_id, engine FROM results) SELECT e.query_id, e.engine, count(k.pos) AS n, coalesce(string_agg(k.url || ' ' || k.title, '|' ORDER BY k.pos), '') AS joined FROM e LEFT JOIN kept k ON e.query_id = k.query_id AND e.engine = k.engine GROUP BY ALL")
+@query(f"WITH {RESULTS_SQL}, kept AS (SELECT * FROM results WHERE engine NOT IN {in_(P.middle)}), e AS (SELECT DISTINCT query_id, engine FROM results) SELECT e.query_id, e.engine, count(k.pos) AS n, coalesce(string_agg(k.url || ' ' || k.title, '|' ORDER BY k.pos), '') AS joined FROM e LEFT JOIN kept k ON e.query_id = k.query_id AND e.engine = k.engine GROUP BY ALL")
 def g9_bundles(spark, sf_dir):
     r = fx.results(spark, sf_dir)
-    b = sources.bundles(r.filter("pos % 3 <> 0"), r.select(*GID).distinct())
+    b = sources.bundles(r.filter(~F.col("engine").isin(*P.middle)), r.select(*GID).distinct())
     return b.select(*GID, F.size("results").cast("long").alias("n"), F.array_join(F.transform("results", lambda x: F.concat(x["url"], F.lit(" "), x["title"])), "|").alias("joined"))
 
 
@@ -495,16 +520,12 @@ def serp(spark, sf_dir, tail: str = "") -> DataFrame:
     return r.select(F.get("rows", F.lit(0))["pos"].alias("page_id"), *GID, F.lit("https://find.example/q").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
 
 
-@query(f"WITH {RESULTS_SQL}, p AS (SELECT *, min(pos) OVER (PARTITION BY query_id, engine) AS page_id FROM results) SELECT page_id, url, count(*) AS n FROM p WHERE length(title) >= 3 GROUP BY ALL")
-def c10_c11_link_candidates(spark, sf_dir):
-    c = dom.link_candidates(serp(spark, sf_dir))
-    return c.groupBy("page_id", "url").agg(F.count("snippet").alias("n"))
-
-
-@query("""SELECT page_id, next IS NULL AS last, count(*) AS n FROM (SELECT page_id, lead(i) OVER (PARTITION BY page_id ORDER BY i) AS next FROM (SELECT page_id, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS x FROM pages))) GROUP BY ALL""")
+@query("""SELECT page_id, i AS n, lead(i) OVER (PARTITION BY page_id ORDER BY i) AS next_n FROM (SELECT page_id, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li>') AS x FROM pages))""")
 def w5_next_sibling(spark, sf_dir):
-    n = dom.next_siblings(dom.explode_dom(fx.read(spark, sf_dir, "pages"), (), ())).filter("tag = 'li'")
-    return n.groupBy("page_id", F.col("next").isNull().alias("last")).agg(F.count("*").alias("n"))
+    """Every list item with the one that follows; each list of the given pages is the page's only one."""
+    n = _in_order(dom.next_siblings(dom.explode_dom(fx.read(spark, sf_dir, "pages"), (), ())).filter("tag = 'li'"), "pre")
+    after = n.select("page_id", F.col("pre").alias("next"), F.col("n").alias("next_n"))
+    return n.join(after, ["page_id", "next"], "left").select("page_id", "n", "next_n")
 
 
 @query(f"""WITH {RESULTS_SQL}, x AS (SELECT pos, url, regexp_extract(url, '^(https://[^/]*)', 1) AS host FROM results)
@@ -524,6 +545,11 @@ _PAT = f"""items AS (SELECT page_id, pos AS item, title || ' ' || snippet AS tex
 pat AS (SELECT r.*, s.score FROM paged r JOIN scores s ON r.page_id = s.page_id AND r.pos = s.item WHERE {_LIKE} QUALIFY row_number() OVER (PARTITION BY r.page_id, r.url ORDER BY s.score DESC, r.pos) = 1)"""
 
 
+@query(f"WITH {RESULTS_SQL}, {_PAGED} SELECT page_id, url, title, snippet FROM paged WHERE length(title) >= 3")
+def c10_c11_link_candidates(spark, sf_dir):
+    return dom.link_candidates(serp(spark, sf_dir, TAIL)).select("page_id", "url", "title", "snippet")
+
+
 def asked(spark, sf_dir, pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "query_id").join(fx.queries(spark, sf_dir), "query_id").select("page_id", F.col("query").alias("text"))
 
@@ -546,13 +572,17 @@ def t7_extract_by_pattern(spark, sf_dir):
     return selectors.extract_by_pattern(pages, asked(spark, sf_dir, pages)).select("page_id", "title", "url", "snippet", "score")
 
 
-@query(f"""WITH {RESULTS_SQL}, {_PAGED}, a AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos DESC) AS k FROM paged WHERE pos % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY length(snippet) DESC, pos) AS k FROM paged WHERE pos % 3 = 0)
+@query(f"""WITH {RESULTS_SQL}, {_PAGED}, a AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos DESC) AS k FROM paged WHERE engine NOT IN {in_(P.middle)}),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY length(snippet) DESC, pos) AS k FROM (SELECT * REPLACE (CASE WHEN length(title) % 2 = 0 THEN snippet || ' again' ELSE substring(snippet, 1, 10) END AS snippet) FROM paged))
 SELECT page_id, url, a.page_id IS NULL AS appended, CASE WHEN a.page_id IS NULL OR length(b.snippet) > length(a.snippet) THEN b.title ELSE a.title END AS title, CASE WHEN a.page_id IS NULL OR length(b.snippet) > length(a.snippet) THEN b.snippet ELSE a.snippet END AS snippet
 FROM (SELECT * FROM a WHERE k = 1) a FULL JOIN (SELECT * FROM b WHERE k = 1) b USING (page_id, url)""")
 def t14_j1_merge_routes(spark, sf_dir):
+    """All rows as the pattern route, with longer or shorter snippets, and those of most engines as the selector route."""
     r = fx.results(spark, sf_dir)
-    r = r.join(r.groupBy(*GID).agg(F.min("pos").alias("page_id")), GID).withColumn("snippet", F.trim(F.concat("snippet", F.lit(TAIL)))).select("page_id", "pos", "title", "url", "snippet")
-    return selectors.merge_routes(r.filter("pos % 2 = 0"), r.filter("pos % 3 = 0")).select("page_id", "url", (F.col("route") == 1).alias("appended"), "title", "snippet")
+    r = r.join(r.groupBy(*GID).agg(F.min("pos").alias("page_id")), GID).withColumn("snippet", F.trim(F.concat("snippet", F.lit(TAIL)))).select("engine", "page_id", "pos", "title", "url", "snippet")
+    found = r.withColumn("snippet", F.when(F.length("title") % 2 == 0, F.concat("snippet", F.lit(" again"))).otherwise(F.substring("snippet", 1, 10)))
+    merged = selectors.merge_routes(r.filter(~F.col("engine").isin(*P.middle)).drop("engine"), found.drop("engine"))
+    return merged.select("page_id", "url", (F.col("route") == 1).alias("appended"), "title", "snippet")
 
 
 @query(f"""WITH {RESULTS_SQL}, {QUERIES_SQL}, {_PAGED}, {_SEL}, {_PAT}
