@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,8 @@ class Profile:
     any_link: bool = False
     ad_labels: tuple[str, ...] = ("ad", "sponsored")
     ad_words: tuple[str, ...] = ("ad", "sale", "offer")
+    #: Whether an advertising word has to stand alone; else it counts inside longer words too.
+    whole_words: bool = False
     ad_urls: tuple[str, ...] = ("site3", "promo", "adclick")
     urgency: tuple[str, ...] = ("now", "only", "last", "here")
     major: tuple[str, ...] = ("src0", "src1", "src2", "src3")
@@ -134,8 +137,9 @@ def ad_rule_score(title: Column, snippet: Column, url: Column, p: Profile = DEFA
     """Parts of the advertising score: words in the text, words in the URL, urgency in the title."""
     text = F.lower(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(snippet, F.lit(""))))
     urgency = sum((F.lower(title).contains(w).cast("int") for w in p.urgency), F.lit(0))
+    hit = text.rlike(r"(?U)(?<!\w)(?:" + "|".join(map(re.escape, p.ad_words)) + r")(?!\w)") if p.whole_words else contains_any(text, p.ad_words)
     return {
-        "rule": F.when(contains_any(text, p.ad_words), p.rule_points).otherwise(0), "link": F.when(contains_any(F.lower(url), p.ad_urls), p.link_points).otherwise(0),
+        "rule": F.when(hit, p.rule_points).otherwise(0), "link": F.when(contains_any(F.lower(url), p.ad_urls), p.link_points).otherwise(0),
         "urgency": F.when(urgency >= 2, p.urgency_points).otherwise(0), "urgency_hits": urgency,
     }
 

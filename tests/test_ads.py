@@ -3,12 +3,13 @@
 import html
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from serpflow import ads, text
-from serpflow.ranking import SPACED, UNSPACED
+from serpflow.ranking import DEFAULT, SPACED, UNSPACED
 from serpflow.tfidf import Analyzer
 
 ROWS = [("buy cheap shoes now", 1), ("cheap offer buy today", 1), ("sale of shoes", 1), ("history of tea", 0), ("tea leaves and water", 0), ("how water is kept", 0), ("the history of shoes", 0)]
@@ -62,3 +63,8 @@ def test_saved_model_scores_the_same(spark, tmp_path):
         rows = spark.createDataFrame([(t,) for t, _ in ROWS] + [("",), (None,)], "text string")
         got = [[r["probability"] for r in ads.score_ads(rows, m).collect()] for m in (model, again)]
         assert got[0] == got[1] and again.a == a and sum((p > 0.5) == bool(y) for p, (_, y) in zip(got[0], ROWS)) >= 6
+
+
+def test_words_inside_words(spark):
+    rows = spark.createDataFrame([("Download the reader", "https://site3.example", ""), ("An ad, here", "https://site3.example", "")], "title string, url string, snippet string")
+    assert [[r["ad"] for r in ads.ad_score(rows, None, p).collect()] for p in (DEFAULT, replace(DEFAULT, whole_words=True))] == [[True, True], [False, True]]
