@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("t6_cosine_to_query", "t8_filter_by_relevance", "t9_rank_by_relevance", "t12_similar_pairs", "t3_word_ngrams", "w2_filter_then_best", "b7_post_filter", "g9_bundles", "k2_status_per_window", "c8_w6_extract_by_selectors", "t7_extract_by_pattern", "m1_extract", "t13_j4_drop_near_duplicates", "m2_wash")
+HEADLINE = ("t6_cosine_to_query", "t8_filter_by_relevance", "t9_rank_by_relevance", "t12_similar_pairs", "t3_word_ngrams", "w2_filter_then_best", "b7_post_filter", "g9_bundles", "k2_status_per_window", "c8_w6_extract_by_selectors", "m1_extract", "t13_j4_drop_near_duplicates")
 
 
 def main() -> None:
