@@ -214,10 +214,13 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 
         pairs = table(pairs, name + "_pairs")
         wanted = classes(pairs)
-        pre = head.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
+        pre = head.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
         pre = table(pre, name + "_prefixes")
-        x = pairs.join(pre.toDF("a", "need_a", "p_a"), "a").join(pre.toDF("b", "need_b", "p_b"), "b")
-        x = table(x.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.least("need_a", "need_b")).select("a", "b"), name + "_candidates")
+        x = pairs.join(pre.toDF("a", "n_a", "need_a", "p_a"), "a").join(pre.toDF("b", "n_b", "need_b", "p_b"), "b")
+        # one of the prefixes ends first in the order, and behind it no more is shared than that set has left
+        rest = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den) - 1e-6) - rest
+        x = table(x.filter(F.size(F.array_intersect("p_a", "p_b")) >= F.greatest(F.least("need_a", "need_b"), least)).select("a", "b"), name + "_candidates")
         for read_out in (pairs, wanted, pre):
             drop_table(read_out)
         wanted = classes(x)

@@ -54,6 +54,18 @@ def test_hnsw_links_equal_brute_force(spark):
     assert op1_hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_hnsw_without_audit_finds_planted_links(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 32))
+    x = np.vstack([rng.normal(size=(900, 32)), np.repeat(centres, 20, axis=0) + rng.normal(size=(600, 32)) * 0.18])
+    frame = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)] + [(7, None, "y"), (None, None, "z")], "vec_id long, embedding array<double>, component string")
+    got = op1_hnsw.near_duplicates(frame, shards=2, block=400, audit=0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = int((u @ u.T >= 0.95).sum()) - len(x)
+    assert links > 5000 and 0.99 * links <= sum(r["n_links"] for r in got) <= links
+    assert len(got) == len(x) + 2 and [r["n_links"] for r in got if r["vec_id"] is None] == [0]
+
+
 def test_decision_list_statistics_and_rules(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = by_id(op2_decision_list.apply_rules(docs, labels))
@@ -74,6 +86,27 @@ def test_decision_list_statistics_and_rules(spark, docs, none):
     assert rules.rules and sum(verdict[i] == bool(q) for i, _, q in rows) >= 297
 
 
+def test_jaccard_keeps_every_link_between_parts_of_a_near_copy_group(spark, monkeypatch):
+    """One text, altered at different places and strengths, so that many pairs are just below the threshold."""
+    monkeypatch.setattr(op5_jaccard_join, "FREE", 2.0)
+    rng = np.random.default_rng(5)
+    base, rows = [f"b{i}" for i in range(150)], []
+    for i in range(160):
+        w = list(base)
+        for at in rng.choice(150, rng.integers(0, 5), replace=False):
+            w[at] = f"x{rng.integers(0, 400)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(148)} for _, t in rows]
+    own = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) and own[i] != own[j]:
+                lo, hi = sorted((own[i], own[j]))
+                own = [lo if c == hi else c for c in own]
+    got = by_id(op5_jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert len(set(own)) > 5 and [got[i]["component_id"] for i, _ in rows] == own
+
+
 def labelled(n, poor, good):
     return [(i, (poor if i % 4 == 0 else good) % tuple([i] * (poor if i % 4 == 0 else good).count("%d"))) for i in range(n)]
 
