@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from serpflow import neardup, sources, text
+from serpflow import neardup, sources, text, tfidf
 
 ROWS = [(0, "e1", 0, "One", "https://a.example/1", 'say "hi"'), (0, "e1", 1, "Two", "https://a.example/2", "")]
 
@@ -65,3 +65,25 @@ def test_prefix_filter_drops_no_pair(spark):
     got = {(r["a"], r["b"]) for r in neardup.similar_pairs(items, 0.5).collect()}
     every = {(r["a"], r["b"]) for r in neardup.similar_pairs(items, 1e-6).filter("sim >= 0.5").collect()}
     assert got == every and got
+
+
+def test_groups_score_alike_whether_they_come_whole_or_dealt_by_term(spark, monkeypatch):
+    words = ["red", "blue", "green", "stone", "river", "cloud"]
+    rows = [(g, i, " ".join(words[(g + i * k + k * k) % 6] for k in range(3 + (i * g) % 9))) for g in range(4) for i in range(6 + 10 * g)]
+    items = spark.createDataFrame(rows + [(None, 1, "red"), (2, 3, "blue blue"), (9, 1, "")], "g long, item long, text string")
+    asked = spark.createDataFrame([(g, "blue stone river") for g in range(4)] + [(9, "red")], "g long, text string")
+    for a in (tfidf.WORDS, tfidf.Analyzer("char", 2, 3, cap=15, sublinear=True)):
+        score = lambda: sorted(map(tuple, tfidf.cosine_to_query(items, asked, ["g"], a).collect()), key=repr)
+        near = lambda: sorted(map(tuple, neardup.similar_pairs(items.filter("not (g = 2 and item = 3)"), 0.6, a, ["g"], digits=5).collect()))
+        count = lambda: sorted(map(tuple, tfidf.frequencies(items, ["g"], a).collect()), key=repr)
+        whole = score(), near(), count()
+        monkeypatch.setattr(tfidf, "TASK_CHARS", 800)  # some groups are large
+        assert (score(), near(), count()) == whole
+        monkeypatch.undo()
+        assert whole[0] and whole[1]
+
+
+def test_terms_of_a_small_group_are_not_shuffled(spark):
+    items = spark.createDataFrame([(g, i, "a red stone and a blue one") for g in range(3) for i in range(4)], "g long, item long, text string")
+    plan = tfidf.norms(items, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan.split("Generate")[0]
