@@ -87,3 +87,7 @@ def test_terms_of_a_small_group_are_not_shuffled(spark):
     items = spark.createDataFrame([(g, i, "a red stone and a blue one") for g in range(3) for i in range(4)], "g long, item long, text string")
     plan = tfidf.norms(items, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "Exchange" not in plan.split("Generate")[0]
+    for chars, dealt_again in ((1000, False), (20, True)):
+        counts = tfidf.totals(items, ["g"], text.word_tokens, chars)
+        assert ("Exchange" in counts._jdf.queryExecution().executedPlan().toString().split("Generate")[0]) == dealt_again
+        assert {tuple(r) for r in counts.collect()} == {(g, w, 4) for g in range(3) for w in ("red", "stone", "and", "blue", "one")}
