@@ -136,7 +136,7 @@ def bloom(classes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k: int, classes: DataFrame) -> DataFrame:
-    """cls, set (binary) of the wanted classes, worked out again from the texts; a task gives each once."""
+    """cls, set of the wanted classes, worked out again from the texts; a task gives each once."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom(classes))
 
     def run(batches):
@@ -146,9 +146,9 @@ def sets_of(docs: DataFrame, k: int, classes: DataFrame) -> DataFrame:
             seen.update(c for c, _ in have)
             keep = np.logical_and.reduce([bits[at] for at in bloom_places(np.array([c for c, _ in have], np.int64))])
             out = [x for x, ok in zip(have, keep) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], names=["cls", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x.view(np.int64) for _, x in out], pa.list_(pa.int64()))], names=["cls", "set"])
 
-    found = id_and_text(docs).mapInArrow(run, "cls long, set binary")
+    found = id_and_text(docs).mapInArrow(run, "cls long, set array<long>")
     return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set"))
 
 
@@ -226,18 +226,10 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         wanted = classes(x)
         full = table(sets_of(docs, k, wanted), name + "_sets")
 
-        def check(batches):
-            for batch in batches:
-                a, b, sa, sb = batch.columns
-                keep = []
-                for p, q in zip(sa, sb):
-                    u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    keep.append(both * den >= num * (len(u) + len(v) - both))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        y = x.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        out = table(y.mapInArrow(check, "a long, b long"), name)
+        # row by row: a batch of pairs of long sets for Python would be as large as its longest rows make it
+        y = x.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")
+        y = y.withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        out = table(y.filter(F.col("both") * den >= (F.size("sa") + F.size("sb") - F.col("both")) * num).select("a", "b"), name)
         for read_out in (x, wanted, full):
             drop_table(read_out)
         return out
