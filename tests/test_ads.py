@@ -6,6 +6,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from serpflow import ads, text
@@ -65,6 +66,20 @@ def test_saved_model_scores_the_same(spark, tmp_path):
         assert got[0] == got[1] and again.a == a and sum((p > 0.5) == bool(y) for p, (_, y) in zip(got[0], ROWS)) >= 6
 
 
+def test_models_trained_after_an_observation_go_to_tasks(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 3
+    model = ads.train_ad_model(spark.createDataFrame(ROWS, "text string, label int"), Analyzer(cap=20))
+    got = ads.score_ads(spark.createDataFrame(ROWS, "text string, label int").repartition(2), model).collect()
+    assert len(got) == len(ROWS) and all((r["probability"] > 0.5) == bool(r["label"]) for r in got)
+
+
+def test_capped_terms_are_the_most_frequent_then_first_in_order(spark):
+    rows = spark.createDataFrame([("dd cc bb", 1), ("dd aa zz", 0), ("aa dd", 0), (None, 1)], "text string, label int")
+    assert ads.train_ad_model(rows, Analyzer(hi=1, cap=3)).count.vocabulary == ["dd", "aa", "bb"]
+
+
 def test_words_inside_words(spark):
     rows = spark.createDataFrame([("Download the reader", "https://site3.example", ""), ("An ad, here", "https://site3.example", "")], "title string, url string, snippet string")
     assert [[r["ad"] for r in ads.ad_score(rows, None, p).collect()] for p in (DEFAULT, replace(DEFAULT, whole_words=True))] == [[True, True], [False, True]]
