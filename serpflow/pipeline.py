@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ads, neardup, selectors, sources, tfidf
 from .ranking import DEFAULT, Profile
-from .store import drop_table, table
+from .store import table
 from .text import join_item
 
 ROWS = "query_id long, engine string, pos long, title string, url string, snippet string"
@@ -60,12 +60,12 @@ def wash(rows: DataFrame, engines: DataFrame, asked: DataFrame, model: ads.AdMod
     items = unique.select("query_id", "engine", "item", join_item(F.col("title"), F.col("snippet")).alias("text"))
     queries = unique.select("query_id", "engine").distinct().join(asked, "query_id").select("query_id", "engine", F.col("query").alias("text"))
     score = tfidf.cosine_to_query(items, queries, ["query_id", "engine"], p.unique)
-    ranked = unique.join(score, ["query_id", "engine", "item"])
-    # one engine's rows for one query
+    # one engine's rows for one query, ranked without their texts
     w = Window.partitionBy("query_id", "engine").orderBy(F.desc("score"), "pos")
-    out = table(ranked.withColumn("rank", F.row_number().over(w)).select("query_id", "engine", "pos", "title", "url", "snippet", "score", "rank"), "ranked")
+    ranks = unique.select("query_id", "engine", "item", "pos").join(score, ["query_id", "engine", "item"]).withColumn("rank", F.row_number().over(w)).select("item", "score", "rank")
+    # texts are joined again where they are asked for
+    out = unique.join(table(ranks, "ranks"), "item").select("query_id", "engine", "pos", "title", "url", "snippet", "score", "rank")
     count = lambda o: int(o.get["n"])
-    drop_table(unique)
     return Washed(out, engines, kept.drop("item"), count(before), count(after))
 
 

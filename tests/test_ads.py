@@ -80,6 +80,13 @@ def test_capped_terms_are_the_most_frequent_then_first_in_order(spark):
     assert ads.train_ad_model(rows, Analyzer(hi=1, cap=3)).count.vocabulary == ["dd", "aa", "bb"]
 
 
+def test_texts_are_made_once_for_all_words_looked_for(spark):
+    made = lambda c: F.regexp_replace(c, r"\s+", " ")
+    rows = spark.createDataFrame([("now\tsale", "https://site3.example", "tea"), (None, None, None)], "title string, url string, snippet string")
+    out = ads.drop_ads(rows.select(made("title").alias("title"), "url", made("snippet").alias("snippet")), None)
+    assert out._jdf.queryExecution().executedPlan().toString().count("regexp_replace") < 20 and out.count() == 1
+
+
 def test_words_inside_words(spark):
     rows = spark.createDataFrame([("Download the reader", "https://site3.example", ""), ("An ad, here", "https://site3.example", "")], "title string, url string, snippet string")
     assert [[r["ad"] for r in ads.ad_score(rows, None, p).collect()] for p in (DEFAULT, replace(DEFAULT, whole_words=True))] == [[True, True], [False, True]]

@@ -55,6 +55,15 @@ def test_copies_go_and_texts_without_terms_stay(spark):
     assert neardup.drop_near_duplicates(items.limit(0), ["item"], ["query_id"]).count() == 0
 
 
+def test_copies_are_found_where_a_groups_texts_lie(spark):
+    items = spark.createDataFrame([(0, 1, "green tea"), (0, 2, "green tea"), (1, 3, "black tea"), (None, 4, "tea")], "query_id long, item long, text string")
+    plan = neardup._vectors(items, 0.85, neardup.WORDS, ["query_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    rows = [(0, 1, None), (0, 2, None), (None, 3, "green tea"), (None, 4, "green tea"), (0, 5, "Green tea"), (0, 6, "green tea"), (0, 7, "green tea")]
+    items = spark.createDataFrame(rows, "query_id long, item long, text string")
+    assert sorted(r["item"] for r in neardup.near_duplicates(items, ["item"], ["query_id"]).collect()) == [6, 7]
+
+
 ROWS = [
     (0, "e1", 0, "Green tea", "https://a.example/1", "how leaves are dried"), (0, "e1", 1, "Sale now here", "https://site3.example/2", "offer"), (0, "e2", 0, "Green tea", "https://b.example/1", "how leaves are dried"),
     (0, "e1", 2, "Other matter", "https://a.example/3", "nothing of that kind"), (0, "e1", 3, "About tea", "https://a.example/4", "green leaves and more"), (0, "e3", 0, "Only sale here now", "https://site3.example/", ""),
