@@ -4,7 +4,9 @@ A document is the set of 64-bit hashes of its word 3-shingles.  All sets are put
 shingles first by a sketch of counts over the whole corpus.  If two sets reach Jaccard t, the first
 ``n - ceil(t * n) + l`` shingles of each share at least l (for the smaller l of the two).  l grows with the
 estimated number of candidates of a document's prefix, so a document whose shingles are common needs more
-shared prefix shingles before its whole set is looked at.  Pairs that pass are verified on whole sets.
+shared prefix shingles before its whole set is looked at.  A set also has 256 parities, of how many of its
+shingles hash to each of 256 bins: two sets differ in at least as many shingles as their parities do, so
+pairs whose parities differ too much go before anything larger is read.  Pairs that pass are verified on whole sets.
 
 No group meets itself in one task.  Equal sets are one class.  Candidates of a prefix shingle are first
 paired with one pivot each, which is linear; what the pivots link becomes components; only lists that still
@@ -22,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_table, table
@@ -30,6 +32,8 @@ from .common import components, drop_table, table
 #: Counters of the sketch; the estimate of a shingle is the count of all shingles that share its counter.
 SKETCH = 1 << 19
 CHUNKS = 64
+#: Bins of a set's shingles of which the parity is kept.
+PARITIES = 256
 #: Size of a Bloom filter of classes.
 BLOOM_BITS = 24
 #: Estimated candidates that a document's prefix may have before it is lengthened.
@@ -79,6 +83,19 @@ def text_sets(batches, k: int):
             yield batch.column(0)[at : at + 256], part, [xxhash.xxh64_intdigest(s.tobytes(), seed=1) - (1 << 63) if len(s) else None for s in part]
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES bits, as longs: whether an odd number of the shingles of a set is in each bin."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_reach(n_a: str, sig_a: str, n_b: str, sig_b: str, num: int, den: int) -> Column:
+    """Whether the parities of two sets let them reach Jaccard num / den: at least as many shingles are in one set only
+    as parities differ, and those may be (den - num) / (num + den) of both sizes together."""
+    differ = sum((F.bit_count(F.col(sig_a)[k].bitwiseXOR(F.col(sig_b)[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return differ * (num + den) <= (F.col(n_a) + F.col(n_b)) * (den - num)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -135,6 +152,18 @@ def bloom(classes: DataFrame) -> np.ndarray:
     return np.zeros(1 << BLOOM_BITS >> 3, np.uint8) if got is None else got
 
 
+def rows_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (cls, …) of the wanted classes; what the Bloom filter stops is not shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(bloom(classes))
+
+    def run(batches):
+        bits = np.unpackbits(sent.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(np.logical_and.reduce([bits[at] for at in bloom_places(batch.column(0).to_numpy())])))
+
+    return rows.mapInArrow(run, rows.schema).join(classes, "cls", "left_semi")
+
+
 def sets_of(docs: DataFrame, k: int, classes: DataFrame) -> DataFrame:
     """cls, set of the wanted classes, worked out again from the texts; a task gives each once."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom(classes))
@@ -158,15 +187,15 @@ def least_shared(n: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """cls, n, need (l), head (shingles of the plain prefix), more (those added for l).  A task gives each
-    class it meets once."""
+    """cls, n, need (l), head (shingles of the plain prefix), more (those added for l), sig (parities).  A task
+    gives each class it meets once."""
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))
     usual = float(np.median(sketch))
 
     def run(batches):
         counts, seen = sent.value, set()
         for _, part, classes in text_sets(batches, k):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for cls, s in zip(classes, part):
                 if cls is None or cls in seen:
                     continue
@@ -178,12 +207,13 @@ def prefixes(docs: DataFrame, k: int, sketch: np.ndarray, num: int, den: int) ->
                 order = np.argsort(est, kind="stable")
                 cost = np.maximum(0.0, est[order[:p]] - 1.5 * usual - 4).sum()
                 need = int(min(shared, 1 + n // STEP + (2 * np.log2(cost / FREE) if cost > FREE else 0)))
+                sig = parities(s)
                 s = s.view(np.int64)
-                for col, v in zip(out, (cls, n, need, s[order[:p]], s[order[p : p + need - 1]])):
+                for col, v in zip(out, (cls, n, need, s[order[:p]], s[order[p : p + need - 1]], sig)):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], names=["cls", "n", "need", "head", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int64()))], names=["cls", "n", "need", "head", "more", "sig"])
 
-    return id_and_text(docs).mapInArrow(run, "cls long, n int, need int, head array<long>, more array<long>")
+    return id_and_text(docs).mapInArrow(run, "cls long, n int, need int, head array<long>, more array<long>, sig array<long>")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -201,20 +231,22 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         most = F.lit(1) + F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) - 1
         return most * (num + den) >= (F.col(n) + F.col(m)) * num
 
-    posts = head.select(F.posexplode("head").alias("at", "token"), "cls", "n")
+    # dealt by shingle once: the lists' pivots and their join read the same columns of one exchange
+    posts = head.select(F.posexplode("head").alias("at", "token"), "cls", "n").repartition("token")
+    sigs = table(head.groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "parities")
     lists = posts.groupBy("token").agg(F.min(F.struct("cls", "n", "at")).alias("pivot"), F.max("cls").alias("last")).filter("pivot.cls < last").select("token", F.col("pivot.cls").alias("pc"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat"))
     shared = table(posts.join(lists, "token"), "shared")
     stars = shared.filter(F.col("cls") != F.col("pc")).filter(near("n", "pn") & within("n", "at", "pn", "pat")).select(F.col("pc").alias("a"), F.col("cls").alias("b")).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of the pairs (a, b), those whose sets reach the threshold."""
+        """Of the pairs (a, b), those whose sets reach the threshold; pairs are those that parities let pass."""
 
         def classes(p: DataFrame) -> DataFrame:
             return table(p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct(), name + "_classes")
 
         pairs = table(pairs, name + "_pairs")
         wanted = classes(pairs)
-        pre = head.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
+        pre = rows_of(head.select("cls", "n", "need", "head", "more"), wanted).groupBy("cls").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first(F.concat("head", "more")).alias("p"))
         pre = table(pre, name + "_prefixes")
         x = pairs.join(pre.toDF("a", "n_a", "need_a", "p_a"), "a").join(pre.toDF("b", "n_b", "need_b", "p_b"), "b")
         # one of the prefixes ends first in the order, and behind it no more is shared than that set has left
@@ -234,7 +266,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
             drop_table(read_out)
         return out
 
-    links = verified(stars, "stars")
+    like = stars.join(sigs.toDF("a", "n_a", "sig_a"), "a").join(sigs.toDF("b", "n_b", "sig_b"), "b")
+    links = verified(like.filter(may_reach("n_a", "sig_a", "n_b", "sig_b", num, den)).select("a", "b"), "stars")
     comps = components(links, "star_components")
     at = shared.select("token", "cls", "n", "at").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     at = table(at, "placed")
@@ -242,9 +275,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     open_ = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("token")
     # a task gave each class once, so a list may hold it as often as there were tasks
     left = at.join(open_, "token").dropDuplicates(["token", "cls"])
-    left = left.select("token", "cls", "n", "at", "component")
-    x, y = left.toDF("token", "a", "na", "ia", "ca"), left.toDF("token", "b", "nb", "ib", "cb")
-    across = x.join(y, "token").filter("a < b and ca <> cb").filter(near("na", "nb") & within("na", "ia", "nb", "ib")).select("a", "b").distinct()
+    left = left.select("token", "cls", "n", "at", "component").join(sigs.select("cls", "sig"), "cls").select("token", "cls", "n", "at", "component", "sig")
+    x, y = left.toDF("token", "a", "na", "ia", "ca", "sa"), left.toDF("token", "b", "nb", "ib", "cb", "sb")
+    across = x.join(y, "token").filter("a < b and ca <> cb").filter(near("na", "nb") & within("na", "ia", "nb", "ib") & may_reach("na", "sa", "nb", "sb", num, den)).select("a", "b").distinct()
     across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(across, "across")
     joined = components(links.union(more), "components") if more.limit(1).count() else comps
