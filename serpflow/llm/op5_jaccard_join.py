@@ -164,13 +164,24 @@ def rows_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).join(classes, "cls", "left_semi")
 
 
-def sets_of(docs: DataFrame, k: int, classes: DataFrame) -> DataFrame:
-    """cls, set of the wanted classes, worked out again from the texts; a task gives each once."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(classes))
+def sets_of(docs: DataFrame, k: int, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """cls, set of the wanted classes, worked out again from the texts of one document each, the one of smallest id
+    in rows (doc_id, cls); a task gives each once.  Rows without an id are all looked at."""
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(bloom(classes))
+    ids = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")).filter("id is not null")
+    asked = context.broadcast(bloom(ids.select(F.col("id").alias("cls"))))
+
+    def chosen(batches):
+        bits = np.unpackbits(asked.value).view(bool)
+        for batch in batches:
+            id_, none = batch.column(0), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            found = np.logical_and.reduce([bits[at] for at in bloom_places(id_.fill_null(0).to_numpy())])
+            yield batch.filter(pa.array(none | found))
 
     def run(batches):
         bits, seen = np.unpackbits(sent.value).view(bool), set()
-        for _, part, cls in text_sets(batches, k):
+        for _, part, cls in text_sets(chosen(batches), k):
             have = [(c, s) for c, s in zip(cls, part) if c is not None and c not in seen]
             seen.update(c for c, _ in have)
             keep = np.logical_and.reduce([bits[at] for at in bloom_places(np.array([c for c, _ in have], np.int64))])
@@ -256,7 +267,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
         for read_out in (pairs, wanted, pre):
             drop_table(read_out)
         wanted = classes(x)
-        full = table(sets_of(docs, k, wanted), name + "_sets")
+        full = table(sets_of(docs, k, wanted, rows.filter("chunk is null").select("doc_id", "cls")), name + "_sets")
 
         # row by row: a batch of pairs of long sets for Python would be as large as its longest rows make it
         y = x.join(full.toDF("a", "sa"), "a").join(full.toDF("b", "sb"), "b")

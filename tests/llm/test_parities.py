@@ -52,3 +52,16 @@ def test_posts_are_dealt_once_and_unlike_copies_make_few_pairs(spark, monkeypatc
             want[a] = want[b] = min(want[a], want[b])
     assert got == want
     assert made["stars_pairs"] + made["across_pairs"] < 120 * 119 / 2 / 4
+
+
+def test_sets_are_worked_out_from_one_document_of_a_class(spark, monkeypatch):
+    """Ids that are null or repeat for other texts; the sets are those of the wanted classes only."""
+    texts = {1: "a b c d", 2: "a b c d", 3: "e f g h", 4: "i j k l m"}
+    docs = [(7, texts[1]), (9, texts[2]), (7, texts[3]), (None, texts[4]), (None, texts[3]), (11, None), (12, texts[4]), (13, "n o p q")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = op5.shingled(d, 3).filter("chunk is null").select("doc_id", "cls")
+    known = op5.WordHash()
+    want = {tuple(op5.shingle_set(t, 3, known).view(np.int64)) for t in texts.values()}
+    wanted = rows.filter("cls is not null and doc_id is distinct from 13").select("cls").distinct()
+    got = op5.sets_of(d, 3, wanted, rows).collect()
+    assert len(got) == 3 and {tuple(r["set"]) for r in got} == want
