@@ -164,10 +164,11 @@ def rows_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).join(classes, "cls", "left_semi")
 
 
-def sets_of(docs: DataFrame, k: int, classes: DataFrame, rows: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, k: int, classes: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """cls, set of the wanted classes, worked out again from the texts of one document each, the one of smallest id
-    in rows (doc_id, cls); a task gives each once.  Rows without an id are all looked at."""
+    in rows (doc_id, cls), which is made if not given; a task gives each once.  Texts without an id are all looked at."""
     context = docs.sparkSession.sparkContext
+    rows = shingled(docs, k).filter("chunk is null").select("doc_id", "cls") if rows is None else rows
     sent = context.broadcast(bloom(classes))
     ids = rows.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")).filter("id is not null")
     asked = context.broadcast(bloom(ids.select(F.col("id").alias("cls"))))
