@@ -9,8 +9,9 @@ shingles hash to each of 256 bins: two sets differ in at least as many shingles
 pairs whose parities differ too much go before anything larger is read.  Pairs that pass are verified on whole sets.
 
 No group meets itself in one task.  Equal sets are one class.  Candidates of a prefix shingle are first
-paired with one pivot each, which is linear; what the pivots link becomes components; only lists that still
-hold several components are joined, and only across components, since a further link inside one changes
+paired with one pivot each, which is linear; what the pivots link becomes components.  Lists that would still make
+many pairs are dealt out at random, about DEAL classes together, which is linear too, and again as long as what
+links so leaves fewer pairs.  Only lists that then hold several components are joined, and only across components, since a further link inside one changes
 nothing.  So no link between components is lost, however many there are.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are their own
@@ -38,6 +39,8 @@ PARITIES = 256
 BLOOM_BITS = 24
 #: Estimated candidates that a document's prefix may have before it is lengthened.
 FREE = 64.0
+#: Classes of a list, about, that are dealt together; lists are dealt out when whole ones would make more pairs for a class.
+DEAL = 32
 #: One more shared prefix shingle is asked for with every so many shingles of a set, whatever the estimate.
 STEP = 20
 MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)]
@@ -281,16 +284,38 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     like = stars.join(sigs.toDF("a", "n_a", "sig_a"), "a").join(sigs.toDF("b", "n_b", "sig_b"), "b")
     links = verified(like.filter(may_reach("n_a", "sig_a", "n_b", "sig_b", num, den)).select("a", "b"), "stars")
     comps = components(links, "star_components")
-    at = shared.select("token", "cls", "n", "at").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    at = table(at, "placed")
-    # lists of two are settled by their pivot; so are those of one component
-    open_ = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("token")
+    def placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+        """Rows of the lists (token, cls, …) with their component as part, of lists that are not settled: those of two are by
+        their pivot, and those of one component."""
+        at = lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
+        at = table(at, "placed")
+        open_ = at.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("c")).filter("lo < hi and c > 2").select("token")
+        return at.join(open_, "token")
+
+    def met(lists: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a list and deal, across components, that may link and are not tested."""
+        x, y = (lists.select("token", "deal", *[F.col(c).alias(c[0] + i) for c in ("cls", "n", "at", "sig", "part")]) for i in "ab")
+        pairs = x.join(y, ["token", "deal"]).filter("ca < cb and pa <> pb").filter(near("na", "nb") & within("na", "aa", "nb", "ab") & may_reach("na", "sa", "nb", "sb", num, den))
+        return pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+    cols = ["token", "cls", "n", "at", "sig", "part"]
     # a task gave each class once, so a list may hold it as often as there were tasks
-    left = at.join(open_, "token").dropDuplicates(["token", "cls"])
-    left = left.select("token", "cls", "n", "at", "component").join(sigs.select("cls", "sig"), "cls").select("token", "cls", "n", "at", "component", "sig")
-    x, y = left.toDF("token", "a", "na", "ia", "ca", "sa"), left.toDF("token", "b", "nb", "ib", "cb", "sb")
-    across = x.join(y, "token").filter("a < b and ca <> cb").filter(near("na", "nb") & within("na", "ia", "nb", "ib") & may_reach("na", "sa", "nb", "sb", num, den)).select("a", "b").distinct()
-    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    left = placed(shared.select("token", "cls", "n", "at"), comps).dropDuplicates(["token", "cls"])
+    left = table(left.join(sigs.select("cls", "sig"), "cls").select(*cols), "open")
+    tested, turn, before = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 0, None
+    # while whole lists would make many pairs for a row, they are dealt out, as long as that leaves fewer pairs
+    while True:
+        sizes = left.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("s"))
+        crossing, members = sizes.agg(F.coalesce(F.sum(F.col("c") * F.col("c") - F.col("s")) / 2, F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+        if crossing <= DEAL * members or before is not None and crossing > 0.8 * before:
+            break
+        dealt = left.join(left.groupBy("token").agg(F.count("*").alias("c")), "token").withColumn("deal", F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("c") / DEAL)))
+        pairs = table(met(dealt, tested), "dealt")
+        tested, turn, before = tested.union(pairs), turn + 1, crossing
+        links = links.union(verified(pairs, "dealt_links"))
+        comps = components(links, "dealt_components")
+        left = table(placed(left.drop("part"), comps).select(*cols), "open")
+    across = met(left.withColumn("deal", F.lit(0)), tested)
     more = verified(across, "across")
     joined = components(links.union(more), "components") if more.limit(1).count() else comps
     member = rows.filter("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
