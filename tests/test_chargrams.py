@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from serpflow import chargrams, text, tfidf
+from serpflow import chargrams, neardup, text, tfidf
 
 WIDE = "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))
 TEXTS = ["Red  tea", "red tea, RED tea", "", None, "a", "茶 \U0001f375\U0001f375 Émile", "red  tea"]
@@ -29,7 +29,7 @@ def test_totals_by_numbers_equal_totals_by_strings(spark):
     assert got(small) == want == got(tfidf.char_totals(texts, ["g"], 2, 4, chars=5))
 
 
-@pytest.mark.parametrize("a", [tfidf.Analyzer("char", 2, 4, cap=9, sublinear=True), tfidf.Analyzer("char", 1, 3)])
+@pytest.mark.parametrize("a", [tfidf.Analyzer("char", 2, 4, cap=9, sublinear=True), tfidf.Analyzer("char", 1, 3), tfidf.WORDS, tfidf.Analyzer("word", 1, 3, stop=("red",), cap=2, sublinear=True)])
 def test_cosines_by_numbers_equal_those_of_large_groups(spark, monkeypatch, a):
     rnd = random.Random(3)
     rows = [(g, k % 9 if k else None, rnd.choice(TEXTS + ["tea  of　　red stone", " "])) for g in (1, 2, None) for k in range(12)]
@@ -44,3 +44,22 @@ def test_cosines_by_numbers_equal_those_of_large_groups(spark, monkeypatch, a):
     monkeypatch.setattr(tfidf, "TASK_CHARS", 2)  # every group is large
     plan, large = got()
     assert small == large
+
+
+@pytest.mark.parametrize("a", [tfidf.WORDS, tfidf.Analyzer("char", 2, 3, cap=30)])
+def test_unit_vectors_by_numbers_equal_those_of_large_groups(spark, monkeypatch, a):
+    rnd = random.Random(5)
+    rows = [(g, 100 * (g or 0) + k, rnd.choice(TEXTS + ["tea of  red stone", "stone red of tea", " "])) for g in (1, 2, None) for k in range(14)]
+    items = spark.createDataFrame(rows, "g long, item long, text string")
+
+    def got():
+        df = neardup._vectors(items, 0.85, a, ["g"])
+        # terms of a small group are numbers in the terms' order
+        each = sorted((r["g"], r["item"], r["term"] if large else int(r["term"]), round(r["u"], 9), r["head"]) for r in df.collect())
+        return [(g, i, u, h) for g, i, _, u, h in each]
+
+    large = False
+    small = got()
+    monkeypatch.setattr(tfidf, "TASK_CHARS", 2)
+    large = True
+    assert small and got() == small
