@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from serpflow import queries as engine
+from serpflow import neardup, queries as engine
 from serpflow.ranking import furniture, is_like
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +28,12 @@ def test_verdict_of_rows_with_nulls(spark):
     d = spark.createDataFrame(rows, "title string, url string, snippet string, score double").coalesce(1)
     got = d.withColumn("found", furniture(F.col("title"), F.col("url"), F.col("snippet"))).select(is_like(F.col("found"), F.col("score"))).collect()
     assert [r[0] for r in got] == [True, False, True, False, False, False, False]
+
+
+def test_terms_of_one_large_group_are_dealt_once(spark):
+    items = spark.createDataFrame([(i, f"a red stone and a blue one {i % 3}") for i in range(9)], "item long, text string")
+    u = neardup._vectors(items, 0.85, neardup.WORDS, [])
+    plan = u._jdf.queryExecution().executedPlan().toString()
+    # document frequencies are found where a term's rows lie, not by a join of them with themselves
+    assert "Join [term" not in plan and plan.count("Generate explode") == 2
+    assert sorted(r["term"] for r in u.collect() if r["item"] == 0) == sorted(["red", "stone", "and", "blue", "one", "red stone", "stone and", "and blue", "blue one"])
